@@ -3,27 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lanternlake.llm import line_dedup, quality_rules, source_mixing
+from lanternlake.llm import line_dedup, near_dedup, packing, quality_rules, source_mixing
 from lanternlake.llm.common import materialize, table
 
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 1, operator 7: documents that the host-level rules reject go."""
+    """Operator 7: documents that the host-level rules reject go."""
     return quality_rules.filter_documents(docs)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 2, operator 10: lines that a site repeats on its pages go; n_chars follows the text."""
-    from pyspark.sql import functions as F
-
+    """Operator 10: lines that a site repeats on its pages go; n_chars follows the text."""
     names = docs.columns
     out = line_dedup.dedup_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*names)
 
 
-STAGES = [("quality_rules", keep_by_rules), ("line_dedup", drop_boilerplate)]
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: one document of each group of near-duplicates stays."""
+    return near_dedup.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: each document comes as often as the mix takes it, up to three times."""
+    return source_mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: the pieces' places in training sequences."""
+    return packing.pack(docs, carry={"ids_crc32": F.crc32("ids")})
+
+
+STAGES = [
+    ("quality_rules", keep_by_rules),
+    ("line_dedup", drop_boilerplate),
+    ("near_dedup", one_of_each_group),
+    ("source_mixing", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
 
+#: Near-duplicate classes and packing can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
