@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import text_queries
+
+PARTS = [text_queries]
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for part in PARTS for name, f in part.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for part in PARTS for name, text in part.O.items()}
