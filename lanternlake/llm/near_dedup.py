@@ -43,40 +43,79 @@ CHUNK = 4000
 MOST_COMMON = 1_000_000
 #: Random triples of a hash; elements that share one are told apart by their own hash.
 TRIPLES = 4096
-CACHE = 500_000
-#: Shingles handled at once.
-BLOCK = 400_000
+#: Bytes of text and shingles handled at once.
+BLOCK_BYTES, BLOCK = 1 << 20, 200_000
 
 
 class Shingler:
+    """Shingles of many texts at once: words are hashed as polynomials of their bytes, taken from one running sum."""
+
     def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def words(self, text: str | None) -> list[str]:
-        return (text or "").lower().split()
-
-    def hashes(self, ws: list[str]) -> np.ndarray:
-        """64-bit hashes of the shingles of a text, in order, repeats included."""
-        import xxhash
-
-        if not ws:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        for w in set(ws) - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
-        n = max(1, len(h) - WORDS + 1)
-        out = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
-        for k in range(min(WORDS, len(h))):
-            out = (out ^ h[k : k + n]) * np.uint64(0xFF51AFD7ED558CCD)
-            out ^= out >> np.uint64(32)
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.grow(BLOCK_BYTES)
+
+    def grow(self, n: int) -> None:
+        base = np.uint64(0x9E3779B97F4A7C55)
+        inverse = np.uint64(pow(int(base), -1, 1 << 64))
+        self.powers = np.cumprod(np.full(n, base, np.uint64))
+        self.inverses = np.cumprod(np.full(n, inverse, np.uint64))
+
+    @staticmethod
+    def plain(text: str | None) -> bytes:
+        return (text or "").lower().encode("utf-8", "surrogatepass")
+
+    def sets(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of plain() texts, its distinct shingles in order of hash, and their counts."""
+        out = []
+        a = 0
+        while a < len(texts):
+            b, size = a, 0
+            while b < len(texts) and (b == a or size + len(texts[b]) < BLOCK_BYTES):
+                size += len(texts[b]) + 1
+                b += 1
+            out += self.block(texts[a:b])
+            a = b
+        return out
+
+    def block(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        data = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
+        if len(data) > len(self.powers):
+            self.grow(len(data))
+        edges = np.flatnonzero(np.diff(~self.space[data]))
+        starts, ends = edges[::2] + 1, edges[1::2] + 1
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[: len(data)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * self.inverses[starts]
+        h = (h ^ (ends - starts).astype(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(32)
+        places = np.cumsum([1] + [len(t) + 1 for t in texts])
+        first = np.searchsorted(starts, places)  # each text's first word, and the end
+        n = max(0, len(h) - WORDS + 1)
+        five = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
+        for k in range(WORDS):
+            five = (five ^ h[k : k + n]) * np.uint64(0xFF51AFD7ED558CCD)
+            five ^= five >> np.uint64(32)
+        out = []
+        for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            if j - i >= WORDS:
+                s = np.sort(five[i : j - WORDS + 1])
+            elif j > i:  # one shingle of all words
+                s = np.full(1, 0x9E3779B97F4A7C15 + j - i, np.uint64)
+                for k in range(i, j):
+                    s = (s ^ h[k]) * np.uint64(0xFF51AFD7ED558CCD)
+                    s ^= s >> np.uint64(32)
+            else:
+                s = np.zeros(0, np.uint64)
+            new = np.flatnonzero(np.diff(s)) + 1
+            at = np.concatenate([[0], new]) if len(s) else new
+            out.append((s[at], np.diff(np.append(at, len(s)))))
         return out
 
 
-def fingerprint(ws: list[str]) -> str:
-    return hashlib.md5(" ".join(ws).encode("utf-8", "surrogatepass")).hexdigest()
+def fingerprint(text: bytes) -> str:
+    """Of the words of a plain() text."""
+    return hashlib.md5(b" ".join(text.split())).hexdigest()
 
 
 def idf_of(df: np.ndarray, total: int) -> np.ndarray:
@@ -158,8 +197,8 @@ def common_shingles(docs: DataFrame) -> tuple[int, tuple[np.ndarray, np.ndarray]
             return pd.DataFrame({"s": np.append(s[many].view(np.int64), 0), "n": np.append(c[many], -1), "docs": n})
 
         for batch in batches:
-            for t in batch["t"]:
-                held.append(np.unique(shingler.hashes(shingler.words(t))))
+            for s, _ in shingler.sets([shingler.plain(t) for t in batch["t"]]):
+                held.append(s)
                 n, size = n + 1, size + len(held[-1])
                 if n >= CHUNK or size >= 4_000_000:
                     yield chunk()
@@ -184,8 +223,7 @@ def common_shingles(docs: DataFrame) -> tuple[int, tuple[np.ndarray, np.ndarray]
         shingler, keys = Shingler(), sent.value
         n = np.zeros(len(keys), np.int64)
         for batch in batches:
-            for t in batch["t"]:
-                s = np.unique(shingler.hashes(shingler.words(t)))
+            for s, _ in shingler.sets([shingler.plain(t) for t in batch["t"]]):
                 at = np.searchsorted(keys, s)
                 at[at == len(keys)] = 0
                 n[at[keys[at] == s]] += 1
@@ -216,12 +254,12 @@ def signatures(docs: DataFrame, common) -> DataFrame:
 
         for batch in batches:
             ids, fps, parts, size = [], [], [], 0
-            for i, t in zip(batch["id"], batch["t"], strict=True):
-                ws = shingler.words(t)
+            plain = [shingler.plain(t) for t in batch["t"]]
+            for i, t, part in zip(batch["id"], plain, shingler.sets(plain), strict=True):
                 ids.append(i)
-                fps.append(fingerprint(ws))
-                parts.append(np.unique(shingler.hashes(ws), return_counts=True))
-                size += len(parts[-1][0])
+                fps.append(fingerprint(t))
+                parts.append(part)
+                size += len(part[0])
                 if size >= BLOCK:
                     yield block(ids, fps, parts)
                     ids, fps, parts, size = [], [], [], 0
@@ -238,11 +276,10 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
         shingler = Shingler()
         for batch in batches:
             rows = []
-            for t in batch["t"]:
-                ws = shingler.words(t)
-                s, c = np.unique(shingler.hashes(ws), return_counts=True)
+            plain = [shingler.plain(t) for t in batch["t"]]
+            for t, (s, c) in zip(plain, shingler.sets(plain), strict=True):
                 odd = np.flatnonzero(c > 1)  # counts above one only: place and count
-                rows.append((fingerprint(ws), s.astype("<u8").tobytes(), np.stack([odd, c[odd]]).astype("<u4").tobytes()))
+                rows.append((fingerprint(t), s.astype("<u8").tobytes(), np.stack([odd, c[odd]]).astype("<u4").tobytes()))
                 if len(rows) >= 1000:
                     yield pd.DataFrame(rows, columns=["fp", "s", "c"])
                     rows = []
