@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -31,6 +31,12 @@ def flag(text: Column, pattern: str) -> Column:
     return text.rlike(rx(pattern)).cast("int")
 
 
+def once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """rows with columns that come out of a generator: later filters and projections aren't merged into it, so that each
+    expression runs once a row however often its column is used."""
+    return rows.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

@@ -23,10 +23,10 @@ def in_scope(normal: Column) -> Column:
 def score_posts(posts: DataFrame, text: str = "caption_text") -> DataFrame:
     """posts with group flags (hit_*), score, groups (array), high_risk, target_scope, english_like, save_candidate.
 
-    One alternation a group; the flags come out of a generator, so that each pattern runs once a row.
+    One alternation a group; each pattern runs once a row.
     """
     out = posts.withColumn("normal_text", X.crawl_text(F.col(text)))
-    out = out.select("*", F.inline(F.array(F.struct(*[F.col("normal_text").rlike(X.any_of(ps)).cast("int").alias(f"hit_{g}") for g, (_, ps) in fixed.TRIGGERS.items()]))))
+    out = X.once(out, {f"hit_{g}": F.col("normal_text").rlike(X.any_of(ps)).cast("int") for g, (_, ps) in fixed.TRIGGERS.items()})
     score = sum((F.col(f"hit_{g}") * F.lit(float(w)) for g, (w, _) in fixed.TRIGGERS.items()), F.lit(0.0))
     groups = F.filter(F.array(*[F.when(F.col(f"hit_{g}") == 1, F.lit(g)) for g in fixed.TRIGGERS]), lambda g: g.isNotNull())
     out = out.withColumns({"score": F.round(score, 3), "groups": groups, "high_risk": F.greatest(*[F.col(f"hit_{g}") for g in fixed.HIGH_RISK]) == 1})

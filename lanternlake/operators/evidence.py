@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.fuzzy import active, cap, f_and, f_not, f_or
+from ..functions.text import once, squeeze
 
 ACCUMULATED = ["critical_risk_score", "omission_accumulation_score", "testimonial_accumulation_score", "transparency_persuasion_accumulation_score", "soft_accumulation_risk", "weak_labeling_score"]
 
@@ -33,14 +34,15 @@ def base_evidence(rows: DataFrame, ner: dict, relation: dict, rule: dict) -> Dat
         out[f"E_{x}"] = cap(F.greatest(own, hit(f"LEX_{x}")) if f"LEX_{x}" in lexical else own)
     for name, x, r in (("OUTCOME_GUARANTEED_EVIDENCE", fixed.RE_LABELS[0], "RULE_OUTCOME_GUARANTEED"), ("REQUIREMENT_WAIVED_EVIDENCE", fixed.RE_LABELS[1], "RULE_REQUIREMENT_WAIVED"), ("TESTIMONIAL_SUCCESS_EVIDENCE", fixed.RE_LABELS[2], "RULE_TESTIMONIAL_SUCCESS"), ("HAS_VERIFIABLE_ORG_LINK", fixed.RE_LABELS[3], "RULE_ORG_LINK")):
         out[name] = cap(F.greatest(w(relation, x) * cap(F.col(f"p_{x}")), hit(r)))
-    return rows.withColumns(out)
+    return once(rows, out)
 
 
 def intermediate_evidence(rows: DataFrame, ner: dict, rule: dict) -> DataFrame:
     c = F.col
     hit = lambda r: F.lit(min(1.0, max(0.0, float(rule.get(r, 0.0))))) * c(r)
     own = F.lit(min(1.0, max(0.0, float(ner.get("PRESSURE_CUE", 0.0))))) * (F.coalesce(c("has_PRESSURE_CUE").try_cast("double"), F.lit(0.0)) >= 0.5).cast("int")
-    return rows.withColumns(
+    return once(
+        rows,
         {
             "CLAIM_SCOPE": f_or(c("E_PROGRAM_OR_INTAKE"), c("E_OUTCOME"), c("E_COST_CLAIM"), c("E_GENERIC_INSTITUTION"), c("E_REQUIREMENT")),
             "GENERIC_ONLY_INSTITUTION": f_and(c("E_GENERIC_INSTITUTION"), f_not(c("HAS_VERIFIABLE_ORG_LINK"))),
@@ -48,7 +50,7 @@ def intermediate_evidence(rows: DataFrame, ner: dict, rule: dict) -> DataFrame:
             "MATERIAL_CAVEAT": f_or(c("E_COST_DETAIL"), *[hit(f"RULE_{x}") for x in ("SEMESTER_FEE", "LIVING_COST", "BLOCKED_ACCOUNT", "PROOF_OF_FUNDS", "PUBLIC_PRIVATE_QUALIFIER")]),
             "PRESSURE_INTENSITY": f_or(*[hit(f"RULE_PRESSURE_{x}") * F.lit(k) for x, k in fixed.PRESSURE.items()], own),
             "IMPLICATIVE_PROMISE": f_or(c("E_VAGUE_BENEFIT"), *[hit(f"RULE_{x}") for x in ("FUTURE_PROMISE", "DREAM_JOB", "GLOBAL_CAREER", "LIFE_CHANGING", "BRIGHT_FUTURE")]),
-        }
+        },
     )
 
 
@@ -66,7 +68,7 @@ def deception_types(rows: DataFrame, rule: dict) -> DataFrame:
         "OMISSION": f_and(c("BROAD_FREE_CLAIM"), f_not(c("MATERIAL_CAVEAT"))),
         "IMPLICATIVE_LANGUAGE": c("IMPLICATIVE_PROMISE"),
     }
-    rows = rows.withColumns({f"E_{k}": v for k, v in out.items()})
+    rows = once(rows, {f"E_{k}": v for k, v in out.items()})
     return rows.withColumns({f"S_{k}": cap(c(f"E_{k}")) for k in fixed.TYPES})
 
 
@@ -84,7 +86,7 @@ def accumulate(rows: DataFrame) -> DataFrame:
         }
     )
     rows = rows.withColumn("soft_accumulation_risk", f_or(*[F.col(k) for k in ACCUMULATED[1:4]]))
-    return rows.withColumn("weak_labeling_score", cap(F.greatest("critical_risk_score", "soft_accumulation_risk")))
+    return once(rows, {"weak_labeling_score": cap(F.greatest("critical_risk_score", "soft_accumulation_risk"))})
 
 
 def label(rows: DataFrame) -> DataFrame:
@@ -161,7 +163,5 @@ def decision_report(scored: DataFrame) -> DataFrame:
 
 def false_positive_review(scored: DataFrame, text: str) -> DataFrame:
     """Legitimate posts that the framework doesn't take for normal, with a preview of their text."""
-    from ..functions.text import squeeze
-
     rows = scored.filter((F.lower("original_seed_label") == "legitimate") & (F.col("framework_weak_label") != "normal"))
     return rows.select("post_id", "framework_weak_label", "weak_labeling_score", "top_deception_type", F.substring(squeeze(F.col(text)), 1, fixed.PREVIEW).alias("preview"))

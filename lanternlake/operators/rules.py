@@ -27,14 +27,10 @@ def pattern_of(rule: str) -> str:
 
 
 def rule_flags(rows: DataFrame, text: str) -> DataFrame:
-    """rows with one 0/1 column a rule.  Patterns that two rules share run once.
-
-    The flags come out of a generator, which later filters and projections aren't merged into: each pattern runs once a row
-    however often its flag is used.
-    """
+    """rows with one 0/1 column a rule.  Patterns that two rules share run once."""
     flags: dict[str, Column] = {r: X.flag(F.col(text), pattern_of(r)) for r, *_ in fixed.RULES if r not in ("RULE_ORG_LINK", "RULE_DIRECT_OUTCOME_GUARANTEE", "LEX_PRESSURE_CUE")}
     flags["RULE_ORG_LINK"] = X.organisation_link(F.col(text))
-    out = rows.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in flags.items()]))))
+    out = X.once(rows, flags)
     return out.withColumns({"RULE_DIRECT_OUTCOME_GUARANTEE": F.col("RULE_OUTCOME_GUARANTEED"), "LEX_PRESSURE_CUE": F.greatest("RULE_PRESSURE_STRONG", "RULE_PRESSURE_MEDIUM", "RULE_PRESSURE_WEAK")})
 
 
