@@ -12,11 +12,11 @@ from ..functions import text as X
 def looks_english(text: Column) -> Column:
     """At least 40 characters, three quarters of the letters ASCII, and a common word."""
     letters, ascii_letters = F.length(F.regexp_replace(text, r"[^\p{L}]", "")), F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
-    return (F.length(X.strip(text)) >= fixed.ENGLISH_LENGTH) & (letters > 0) & (ascii_letters >= fixed.ENGLISH_SHARE * letters) & F.lower(text).rlike("(?U)" + fixed.ENGLISH_WORDS)
+    return (F.length(X.strip(text)) >= fixed.ENGLISH_LENGTH) & (letters > 0) & (ascii_letters >= fixed.ENGLISH_SHARE * letters) & X.plain_words(F.lower(text)).rlike(X.plain_rx(fixed.ENGLISH_WORDS))
 
 
 def in_scope(normal: Column) -> Column:
-    """Of crawl_text(): no bad content, and one scope pattern."""
+    """Of the plain_words() of crawl_text(): no bad content, and one scope pattern."""
     return ~normal.rlike(X.any_of(fixed.BAD_CONTENT)) & normal.rlike(X.any_of(fixed.SCOPE))
 
 
@@ -25,7 +25,7 @@ def score_posts(posts: DataFrame, text: str = "caption_text") -> DataFrame:
 
     One alternation a group; each pattern runs once a row.
     """
-    out = posts.withColumn("normal_text", X.crawl_text(F.col(text)))
+    out = X.once(posts, {"normal_text": X.plain_words(X.crawl_text(F.col(text)))})
     out = X.once(out, {f"hit_{g}": F.col("normal_text").rlike(X.any_of(ps)).cast("int") for g, (_, ps) in fixed.TRIGGERS.items()})
     score = sum((F.col(f"hit_{g}") * F.lit(float(w)) for g, (w, _) in fixed.TRIGGERS.items()), F.lit(0.0))
     groups = F.filter(F.array(*[F.when(F.col(f"hit_{g}") == 1, F.lit(g)) for g in fixed.TRIGGERS]), lambda g: g.isNotNull())
@@ -37,8 +37,8 @@ def score_posts(posts: DataFrame, text: str = "caption_text") -> DataFrame:
 
 def matched_patterns(text: Column) -> Column:
     """array<struct<group,pattern>> of all trigger patterns that a text meets."""
-    t = X.crawl_text(text)
-    each = [F.when(t.rlike(X.rx(p)), F.struct(F.lit(g).alias("group"), F.lit(p).alias("pattern"))) for g, (_, ps) in fixed.TRIGGERS.items() for p in ps]
+    t = X.plain_words(X.crawl_text(text))
+    each = [F.when(t.rlike(X.plain_rx(p)), F.struct(F.lit(g).alias("group"), F.lit(p).alias("pattern"))) for g, (_, ps) in fixed.TRIGGERS.items() for p in ps]
     return F.filter(F.array(*each), lambda x: x.isNotNull())
 
 
@@ -52,7 +52,7 @@ def cap_by_account(rows: DataFrame, cap: int, order: str, account: str = "accoun
 
 def skip_reason(text: Column, seen: Column) -> Column:
     """The first reason to skip a legitimate-account post, or null."""
-    t = X.legit_text(text)
+    t = X.plain_words(X.legit_text(text))
     relevant = t.rlike(X.any_of([p for ps in fixed.LEGITIMATE.values() for p in ps]))
     return F.when(seen, "existing").when(X.strip(X.null_safe(text)) == "", "no_caption").when(~looks_english(text), "non_english").when(~relevant, "irrelevant").when(t.rlike(X.any_of(fixed.EXCLUDED_CONTENT)), "excluded")
 

@@ -17,6 +17,9 @@ SPECIAL = {
     "RULE_TESTIMONIAL_SUCCESS": fixed.TESTIMONIAL_SUCCESS,
 }
 
+#: What a text that meets a costly pattern holds at least; other texts are spared the pattern.
+HINTS = {"RULE_TESTIMONIAL_SUCCESS": r"admission|admit|visa|scholarship|letter"}
+
 
 def pattern_of(rule: str) -> str:
     """The rule's pattern; RULE_ORG_LINK has none."""
@@ -28,9 +31,11 @@ def pattern_of(rule: str) -> str:
 
 def rule_flags(rows: DataFrame, text: str) -> DataFrame:
     """rows with one 0/1 column a rule.  Patterns that two rules share run once."""
-    flags: dict[str, Column] = {r: X.flag(F.col(text), pattern_of(r)) for r, *_ in fixed.RULES if r not in ("RULE_ORG_LINK", "RULE_DIRECT_OUTCOME_GUARANTEE", "LEX_PRESSURE_CUE")}
+    rows = X.once(rows, {"__plain": X.plain_words(F.col(text))})
+    met = lambda p: F.col("__plain").rlike(X.plain_rx(p))
+    flags: dict[str, Column] = {r: (met(HINTS[r]) & met(pattern_of(r)) if r in HINTS else met(pattern_of(r))).cast("int") for r, *_ in fixed.RULES if r not in ("RULE_ORG_LINK", "RULE_DIRECT_OUTCOME_GUARANTEE", "LEX_PRESSURE_CUE")}
     flags["RULE_ORG_LINK"] = X.organisation_link(F.col(text))
-    out = X.once(rows, flags)
+    out = X.once(rows, flags).drop("__plain")
     return out.withColumns({"RULE_DIRECT_OUTCOME_GUARANTEE": F.col("RULE_OUTCOME_GUARANTEED"), "LEX_PRESSURE_CUE": F.greatest("RULE_PRESSURE_STRONG", "RULE_PRESSURE_MEDIUM", "RULE_PRESSURE_WEAK")})
 
 
