@@ -1,7 +1,7 @@
 """Supervised subword embeddings as a quality classifier.
 
-A document is the mean of learned vectors of its words and of their character n-grams, all hashed into BUCKETS rows; a softmax
-output gives the label.  Training is plain stochastic gradient descent in numpy on a bounded sample of labelled documents.
+A document is the mean of learned vectors of its words, of their character n-grams, and of its repetitions (a word that comes
+again one to four words later is a feature by distance), all hashed into BUCKETS rows; a softmax output gives the label.  Training is plain stochastic gradient descent in numpy on a bounded sample of labelled documents.
 
 As mean and output are linear, a trained feature acts on the decision by one number, so a document's score is the mean of
 numbers that are looked up by word; every whole text is read, nothing is shuffled.
@@ -28,6 +28,7 @@ DIMENSIONS = 12
 EPOCHS = 6
 RATE = 0.5
 MIN_N, MAX_N = 3, 5
+LAGS = 4
 SEED = 11
 SAMPLE = 3000
 SAMPLE_CHARS = 60_000
@@ -35,6 +36,20 @@ SAMPLE_CHARS = 60_000
 CACHE = 500_000
 
 
+def repeat_rows() -> list[int]:
+    """Rows of repetitions at distances from 1 to LAGS."""
+    import zlib
+
+    return [zlib.crc32(b"@%d" % k) % BUCKETS for k in range(1, LAGS + 1)]
+
+
+def repeats(ws: list[str]) -> list[int]:
+    """How many words come again at each distance."""
+    from operator import eq
+
+    return [sum(map(eq, ws[k:], ws)) for k in range(1, LAGS + 1)]
+
+
 def features(word: str) -> list[int]:
     """Rows of a word and of its character n-grams, with marks at its ends."""
     import zlib
@@ -47,8 +62,9 @@ def features(word: str) -> list[int]:
 
 def document_features(text: str, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows of a text and their shares."""
-    found = []
-    for w in text.split():
+    ws = text.split()
+    found = [np.repeat(np.asarray(repeat_rows(), np.int32), repeats(ws))] if ws else []
+    for w in ws:
         f = known.get(w)
         if f is None:
             f = known[w] = np.asarray(features(w), np.int32)
@@ -112,6 +128,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights, bias = sent.value
+        extra = weights[repeat_rows()].tolist()
         sums: dict[str, float] = {}
         sizes: dict[str, int] = {}
         for batch in batches:
@@ -127,8 +144,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
                             f = features(w)
                             sums[w], sizes[w] = float(weights[f].sum()), len(f)
                     got = list(map(sums.get, ws))
-                n = sum(map(sizes.get, ws))
-                scores.append(bias + (sum(got) / n if n else 0.0))
+                again = repeats(ws)
+                n = sum(map(sizes.get, ws)) + sum(again)
+                total = sum(got) + sum(a * x for a, x in zip(again, extra, strict=True))
+                scores.append(bias + (total / n if n else 0.0))
             yield pd.DataFrame({"id": batch["id"], "score": 1 / (1 + np.exp(-np.asarray(scores, float)))})
 
     rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
