@@ -47,10 +47,6 @@ def scan_project_posts(spark, sf):
     return p.select("post_id", F.concat(F.lit("https://example.org/p/"), "post_id").alias("post_url"), F.lit("instagram").alias("platform"), F.lower(F.ltrim(F.trim("account_name"), F.lit("@"))).alias("account_name"), "caption_text", F.coalesce(F.nullif(F.lower(F.trim("language")), F.lit("")), F.lit("en")).alias("language"))
 
 
-_AGE = fixed.AGE.replace("'", "''")
-_CLEAN_STEPS = [("t1", f"regexp_replace(t0, {quote('^' + fixed.LIKES_PREFIX[1:])}, '', 'i')")]
-
-
 def _clean_sql() -> str:
     def chain(x: str, steps: list[tuple[str, str, str]]) -> str:
         for pattern, by, opts in steps:
