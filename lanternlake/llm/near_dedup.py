@@ -364,8 +364,9 @@ def buckets(classes: DataFrame) -> DataFrame:
 def link(members: DataFrame, sets: DataFrame, common) -> DataFrame:
     """node, comp of all texts that have links.  members: key, fp of buckets."""
     centres = members.groupBy("key").agg(F.min("fp").alias("b"))
-    pairs = members.join(centres, "key").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
-    edges = materialize(verified(pairs, sets, common), "links")
+    ordered = [F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")]
+    tested = materialize(members.join(centres, "key").filter("fp <> b").select(*ordered).distinct(), "pairs")
+    edges = materialize(verified(tested, sets, common), "links")
     comps = materialize(components(edges), "components")
     done = 0
     size = 4
@@ -376,16 +377,17 @@ def link(members: DataFrame, sets: DataFrame, common) -> DataFrame:
         several = materialize(placed.join(largest, "key"), "several")
         outside = several.filter("comp <> main").withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("fp")))
         turn = outside.filter((F.col("i") > done) & (F.col("i") <= done + size)).select("key", F.col("fp").alias("b"), F.col("comp").alias("other"))
-        pairs = several.join(turn, "key").filter("comp <> other").select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct()
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
+        if turn.isEmpty():
             break
+        pairs = several.join(turn, "key").filter("comp <> other").select(*ordered).distinct()
+        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.union(pairs)
         new = materialize(verified(pairs, sets, common), "links")
         done, size = done + size, size * 4
         if not new.isEmpty():
             edges = edges.union(new)
             comps = materialize(components(edges), "components")
-            done, size = 0, size  # outsiders have changed; pairs within a component are not compared again
+            done = 0  # outsiders have changed; no pair is compared twice
     return comps
 
 
