@@ -50,6 +50,12 @@ def cap_by_account(rows: DataFrame, cap: int, order: str, account: str = "accoun
     return kept.filter((F.col("__n") < cap) | ((F.col("__n") == cap) & (F.col("__s") == 1))).drop("__n", "__s")
 
 
+def account_cap(*columns: str, default: int) -> Column:
+    """The first of columns that is a number, cut to a whole number of at least 0; else the default."""
+    number = lambda c: F.greatest(F.lit(0), F.col(c).try_cast("double").cast("int"))
+    return F.coalesce(*[F.when(F.col(c).try_cast("double").isNotNull(), number(c)) for c in columns], F.lit(default))
+
+
 def skip_reason(text: Column, seen: Column) -> Column:
     """The first reason to skip a legitimate-account post, or null."""
     t = X.plain_words(X.legit_text(text))

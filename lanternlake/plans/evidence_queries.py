@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import evidence as E
+from ..operators import predict as P
 from ..operators import rules as R
 from ..sources.posts import posts, quote, sql
 from .text_queries import SQUEEZE, ascii_words
@@ -171,3 +172,12 @@ def decision_report(spark, sf):
 @query("false_positive_review", sql(_S) + f"SELECT post_id, framework_weak_label, round(weak_labeling_score, 6) AS weak_labeling_score, substring({SQUEEZE.format('caption_text')}, 1, 350) AS preview FROM z WHERE lower(original_seed_label) = 'legitimate' AND framework_weak_label <> 'normal'")
 def false_positive_review(spark, sf):
     return E.false_positive_review(scored(spark, sf), "caption_text").select("post_id", "framework_weak_label", F.round("weak_labeling_score", 6).alias("weak_labeling_score"), "preview")
+
+
+_SPANS = " UNION ALL ".join(f"SELECT '{x}' AS label, unnest(regexp_extract_all(t, {quote(R.pattern_of('LEX_' + x))}, 0, 'i')) AS m FROM (SELECT {ascii_words('caption_text')} AS t FROM posts)" for x in P.LEXICAL)
+
+
+@query("lexical_spans", sql(f"s AS ({_SPANS})") + "SELECT label, count(*) AS n, CAST(sum(length(m)) AS BIGINT) AS characters FROM s GROUP BY label")
+def lexical_spans(spark, sf):
+    found = posts(spark, sf).select(F.explode(P.lexical_spans(F.col("caption_text"))).alias("s")).select("s.*")
+    return found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("end") - F.col("start")).cast("long")).alias("characters"))

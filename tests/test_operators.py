@@ -1,5 +1,6 @@
 """Operators against plain restatements of what they mean."""
 
+import json
 import random
 import re
 
@@ -111,6 +112,21 @@ def test_files(spark, tmp_path):
     assert [s["label"] for s in r["spans"]] == ["COST_CLAIM"] and r["relation_labels"] == ["REQUIREMENT_WAIVED"]
 
 
+def test_stages(spark, tmp_path):
+    from lanternlake.operators.crawl import account_cap
+    from lanternlake.plans import stages
+
+    posts = [{"post_id": str(i), "post_url": "u", "account_name": "a", "caption_text": t, "language": "en"} for i, t in enumerate(PHRASES) if t]
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "p.json").write_text(json.dumps(posts))
+    (tmp_path / "keys.json").write_text(json.dumps([{"data": {"post_id": "1"}}, {"post_id": "2"}]))
+    cfg = stages.Config(raw=str(tmp_path / "raw"), annotations=str(tmp_path / "keys.json"))
+    rows = stages.run(spark, cfg).collect()
+    assert rows and {r["post_id"] for r in rows}.isdisjoint({"1", "2"}) and {r["seed_label"] for r in rows} <= {"normal", "suspicious"}
+    caps = spark.createDataFrame([("7.9", None), ("x", "-3"), (None, None)], "a string, b string").select(account_cap("a", "b", default=5).alias("n"))
+    assert [r["n"] for r in caps.collect()] == [7, 0, 5]
+
+
 def test_streams(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("saved", (F.col("value") > 50).cast("int"))
     events.repartition(3).write.parquet(str(tmp_path / "in"))
