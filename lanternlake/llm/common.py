@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -27,14 +28,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts lineage, and lost executors only cost a re-read."""
+#: Paths that materialize() wrote and release() may delete.
+_written: list[str] = []
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again: cuts lineage, and lost executors only cost a re-read.
+
+    keep: release() leaves it alone.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lanternlake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not keep:
+        _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what materialize() wrote so far: for callers that have written their results of it elsewhere."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    clean_shuffles(spark)
+
+
+def clean_shuffles(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of DataFrames that nobody holds any more; it does so as the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, even where body uses it inside a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

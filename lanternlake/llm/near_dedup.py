@@ -7,9 +7,9 @@
    passes: what is common in the corpus is common in some chunk of it, so chunks name candidates, which are then counted.
 3. ICWS draws one shingle a hash in proportion to its weight; ROWS draws form a band, BANDS bands a signature.  Two texts of
    weighted Jaccard similarity 0.8 share a band with odds of over 99.9 %.
-4. Texts that share a band are verified by their exact weighted Jaccard similarity, against one centre of the bucket first;
-   links form components.  Where a bucket's texts are then still in several components, all texts outside its largest one are
-   compared with those of other components, in rounds, so that no bucket is capped and no link between components is lost.
+4. Texts that share a band are compared with centres of the bucket (see link()) and verified by their exact weighted Jaccard
+   similarity; links form components.  A text shares about six bands with one that is 0.8 similar, and meets other centres in
+   each, so that components come out whole though no bucket gives all its pairs.
 
 Components are found by alternating star contraction on tables; nothing of the corpus's size reaches the driver.
 
@@ -28,12 +28,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import clean_shuffles, materialize, table
 
 WORDS = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 4, 14
 SEED = 5
+#: Further centres of a bucket in several components, and draws of ROWS * BANDS that agree at least where the similarity is
+#: SIMILARITY: four deviations under the mean.
+CENTRES, LEAST_DRAWS = 4, 32
 #: Share of documents from which a shingle is common, and the least weight of a shingle.
 COMMON, IDF_FLOOR = 0.01, 0.5
 #: A shingle is common in this many documents at least.
@@ -236,21 +239,22 @@ def common_shingles(docs: DataFrame) -> tuple[int, tuple[np.ndarray, np.ndarray]
 
 
 def signatures(docs: DataFrame, common) -> DataFrame:
-    """docs (id, t): id, fp (of the words) and bands (array<long>, empty for texts without words)."""
+    """docs (id, t): id, fp (of the words), bands (array<long>) and draws (array<int>), empty for texts without words."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, sampler, weights = Shingler(), Sampler(), Weights(sent.value)
 
         def block(ids, fps, parts) -> pd.DataFrame:
-            bands = [np.zeros(0, np.int64)] * len(ids)
+            bands, draws = [np.zeros(0, np.int64)] * len(ids), [np.zeros(0, np.int32)] * len(ids)
             full = [i for i, (s, _) in enumerate(parts) if len(s)]
             if full:
                 s, c = (np.concatenate([parts[i][k] for i in full]) for k in (0, 1))
                 starts = np.cumsum([0] + [len(parts[i][0]) for i in full[:-1]])
-                for i, b in zip(full, sampler.bands(sampler.draw(s, weights.of(s, c), starts)), strict=True):
-                    bands[i] = b
-            return pd.DataFrame({"id": pd.array(ids, dtype="string"), "fp": fps, "bands": bands})
+                drawn = sampler.draw(s, weights.of(s, c), starts)
+                for i, b, d in zip(full, sampler.bands(drawn), drawn.view(np.int32), strict=True):
+                    bands[i], draws[i] = b, d
+            return pd.DataFrame({"id": pd.array(ids, dtype="string"), "fp": fps, "bands": bands, "draws": draws})
 
         for batch in batches:
             ids, fps, parts, size = [], [], [], 0
@@ -266,7 +270,7 @@ def signatures(docs: DataFrame, common) -> DataFrame:
             if ids:
                 yield block(ids, fps, parts)
 
-    return docs.mapInPandas(run, "id string, fp string, bands array<long>")
+    return docs.mapInPandas(run, "id string, fp string, bands array<long>, draws array<int>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -361,34 +365,38 @@ def buckets(classes: DataFrame) -> DataFrame:
     return rows.join(shared, "key", "left_semi")
 
 
-def link(members: DataFrame, sets: DataFrame, common) -> DataFrame:
-    """node, comp of all texts that have links.  members: key, fp of buckets."""
+def link(members: DataFrame, classes: DataFrame, sets: DataFrame, common) -> DataFrame:
+    """node, comp of all texts that have links.  members: key, fp of buckets.
+
+    Each text is compared with its buckets' centres: the least one first; where a bucket is then still in several components,
+    with CENTRES more, least by other orders, of another component.  That is linear in a bucket's size: no bucket is capped,
+    and none gives all its pairs.  Pairs whose draws agree in too few places for the threshold aren't verified.
+    """
+    spark = members.sparkSession
+
+    def probable(pairs: DataFrame) -> DataFrame:
+        x = classes.select(F.col("fp").alias("a"), F.col("draws").alias("da"))
+        y = classes.select(F.col("fp").alias("b"), F.col("draws").alias("db"))
+        same = F.size(F.filter(F.zip_with("da", "db", lambda p, q: p == q), lambda e: e))
+        return pairs.join(x, "a").join(y, "b").filter(same >= LEAST_DRAWS).select("a", "b")
+
     centres = members.groupBy("key").agg(F.min("fp").alias("b"))
     ordered = [F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")]
-    tested = materialize(members.join(centres, "key").filter("fp <> b").select(*ordered).distinct(), "pairs")
+    tested = materialize(probable(members.join(centres, "key").filter("fp <> b").select(*ordered).distinct()), "pairs")
     edges = materialize(verified(tested, sets, common), "links")
     comps = materialize(components(edges), "components")
-    done = 0
-    size = 4
-    while True:
-        placed = members.join(comps, members["fp"] == comps["node"], "left").select("key", "fp", F.coalesce("comp", "fp").alias("comp"))
-        parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-        largest = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", "main")
-        several = materialize(placed.join(largest, "key"), "several")
-        outside = several.filter("comp <> main").withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("fp")))
-        turn = outside.filter((F.col("i") > done) & (F.col("i") <= done + size)).select("key", F.col("fp").alias("b"), F.col("comp").alias("other"))
-        if turn.isEmpty():
-            break
-        pairs = several.join(turn, "key").filter("comp <> other").select(*ordered).distinct()
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(pairs)
-        new = materialize(verified(pairs, sets, common), "links")
-        done, size = done + size, size * 4
-        if not new.isEmpty():
-            edges = edges.union(new)
-            comps = materialize(components(edges), "components")
-            done = 0  # outsiders have changed; no pair is compared twice
-    return comps
+    clean_shuffles(spark)
+    placed = members.join(comps, members["fp"] == comps["node"], "left").select("key", "fp", F.coalesce("comp", "fp").alias("comp"))
+    several = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+    several = materialize(placed.join(several, "key"), "several")
+    by = [F.min_by(F.struct("fp", "comp"), F.xxhash64("fp", F.lit(i))).alias(f"c{i}") for i in range(CENTRES)]
+    more = several.groupBy("key").agg(*by).select("key", F.explode(F.array(*[f"c{i}" for i in range(CENTRES)])).alias("c"))
+    more = more.select("key", F.col("c.fp").alias("b"), F.col("c.comp").alias("other")).distinct()
+    pairs = several.join(more, "key").filter("comp <> other").select(*ordered).distinct()
+    pairs = materialize(probable(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
+    new = materialize(verified(pairs, sets, common), "links")
+    clean_shuffles(spark)
+    return comps if new.isEmpty() else materialize(components(edges.union(new)), "components")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -398,16 +406,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     _, common = common_shingles(rows.select("t"))
     signed = materialize(signatures(rows, common), "signatures")
     number = F.col("id").cast(id_type)
-    classes = materialize(signed.groupBy("fp").agg(F.min(number).alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = materialize(signed.groupBy("fp").agg(F.min(number).alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("draws").alias("draws")), "classes")
     members = materialize(buckets(classes), "buckets")
     wanted = members.select("fp").distinct().join(classes, "fp").select("fp", F.col("rep").cast("string").alias("id")).filter("id IS NOT NULL")
     texts = rows.join(wanted.select("id"), "id", "left_semi")
     sets = shingle_sets(texts.select("t")).join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
-    comps = link(members, materialize(sets, "shingles"), common)
+    comps = link(members, classes, materialize(sets, "shingles"), common)
     named = classes.join(comps, classes["fp"] == comps["node"], "left").select("fp", "rep", "n", F.coalesce("comp", "fp").alias("comp"))
     heads = named.groupBy("comp").agg(F.min("rep").alias("class_id"), F.sum("n").alias("n_copies"))
     place = named.join(heads, "comp").select("fp", "class_id", "n_copies")
-    return signed.join(place, "fp").select(number.alias("doc_id"), "class_id", "n_copies")
+    return signed.select("id", "fp").join(place, "fp").select(number.alias("doc_id"), "class_id", "n_copies")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
