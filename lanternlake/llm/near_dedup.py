@@ -20,6 +20,7 @@ an empty result.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 from collections.abc import Iterator
 
@@ -308,6 +309,18 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(low / high) if high > 0 else 1.0
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 256):
+    """Pairs carry two whole shingle sets each: fewer of them in a Python worker's batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, common) -> DataFrame:
     """The pairs (a, b) of fingerprints whose weighted Jaccard similarity reaches SIMILARITY.  A centre with many partners is a
     skewed join key, which adaptive execution splits."""
@@ -383,7 +396,8 @@ def link(members: DataFrame, classes: DataFrame, sets: DataFrame, common) -> Dat
     centres = members.groupBy("key").agg(F.min("fp").alias("b"))
     ordered = [F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")]
     tested = materialize(probable(members.join(centres, "key").filter("fp <> b").select(*ordered).distinct()), "pairs")
-    edges = materialize(verified(tested, sets, common), "links")
+    with small_batches(spark):
+        edges = materialize(verified(tested, sets, common), "links")
     comps = materialize(components(edges), "components")
     clean_shuffles(spark)
     placed = members.join(comps, members["fp"] == comps["node"], "left").select("key", "fp", F.coalesce("comp", "fp").alias("comp"))
@@ -394,7 +408,8 @@ def link(members: DataFrame, classes: DataFrame, sets: DataFrame, common) -> Dat
     more = more.select("key", F.col("c.fp").alias("b"), F.col("c.comp").alias("other")).distinct()
     pairs = several.join(more, "key").filter("comp <> other").select(*ordered).distinct()
     pairs = materialize(probable(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
-    new = materialize(verified(pairs, sets, common), "links")
+    with small_batches(spark):
+        new = materialize(verified(pairs, sets, common), "links")
     clean_shuffles(spark)
     return comps if new.isEmpty() else materialize(components(edges.union(new)), "components")
 
