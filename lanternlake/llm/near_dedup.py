@@ -7,9 +7,9 @@
    passes: what is common in the corpus is common in some chunk of it, so chunks name candidates, which are then counted.
 3. ICWS draws one shingle a hash in proportion to its weight; ROWS draws form a band, BANDS bands a signature.  Two texts of
    weighted Jaccard similarity 0.8 share a band with odds of over 99.9 %.
-4. Texts that share a band are compared with centres of the bucket (see link()) and verified by their exact weighted Jaccard
-   similarity; links form components.  A text shares about six bands with one that is 0.8 similar, and meets other centres in
-   each, so that components come out whole though no bucket gives all its pairs.
+4. Texts that share a band are verified by their exact weighted Jaccard similarity, against centres of the bucket first (see
+   link()); links form components.  Then all pairs of a bucket that are still in different components are compared, so that
+   no bucket is capped and no link between components is lost.
 
 Components are found by alternating star contraction on tables; nothing of the corpus's size reaches the driver.
 
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import clean_shuffles, materialize, table
@@ -38,6 +38,8 @@ SEED = 5
 #: Further centres of a bucket in several components, and draws of ROWS * BANDS that agree at least where the similarity is
 #: SIMILARITY: four deviations under the mean.
 CENTRES, LEAST_DRAWS = 4, 32
+#: Texts of a bucket that a task compares with as many others.
+PIECE = 256
 #: Share of documents from which a shingle is common, and the least weight of a shingle.
 COMMON, IDF_FLOOR = 0.01, 0.5
 #: A shingle is common in this many documents at least.
@@ -240,7 +242,8 @@ def common_shingles(docs: DataFrame) -> tuple[int, tuple[np.ndarray, np.ndarray]
 
 
 def signatures(docs: DataFrame, common) -> DataFrame:
-    """docs (id, t): id, fp (of the words), bands (array<long>) and draws (array<int>), empty for texts without words."""
+    """docs (id, t): id, fp (of the words), bands (array<long>) and draws (array<int>), empty for texts without words, and weight
+    (of all shingles)."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,14 +251,17 @@ def signatures(docs: DataFrame, common) -> DataFrame:
 
         def block(ids, fps, parts) -> pd.DataFrame:
             bands, draws = [np.zeros(0, np.int64)] * len(ids), [np.zeros(0, np.int32)] * len(ids)
+            total = np.zeros(len(ids))
             full = [i for i, (s, _) in enumerate(parts) if len(s)]
             if full:
                 s, c = (np.concatenate([parts[i][k] for i in full]) for k in (0, 1))
                 starts = np.cumsum([0] + [len(parts[i][0]) for i in full[:-1]])
-                drawn = sampler.draw(s, weights.of(s, c), starts)
+                w = weights.of(s, c)
+                total[full] = np.add.reduceat(w, starts)
+                drawn = sampler.draw(s, w, starts)
                 for i, b, d in zip(full, sampler.bands(drawn), drawn.view(np.int32), strict=True):
                     bands[i], draws[i] = b, d
-            return pd.DataFrame({"id": pd.array(ids, dtype="string"), "fp": fps, "bands": bands, "draws": draws})
+            return pd.DataFrame({"id": pd.array(ids, dtype="string"), "fp": fps, "bands": bands, "draws": draws, "weight": total})
 
         for batch in batches:
             ids, fps, parts, size = [], [], [], 0
@@ -271,7 +277,7 @@ def signatures(docs: DataFrame, common) -> DataFrame:
             if ids:
                 yield block(ids, fps, parts)
 
-    return docs.mapInPandas(run, "id string, fp string, bands array<long>, draws array<int>")
+    return docs.mapInPandas(run, "id string, fp string, bands array<long>, draws array<int>, weight double")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -378,38 +384,118 @@ def buckets(classes: DataFrame) -> DataFrame:
     return rows.join(shared, "key", "left_semi")
 
 
+def alike() -> Column:
+    """Whether a pair with draws da, db and weights wa, wb can reach SIMILARITY: no similarity is above the ratio of the weights."""
+    same = F.size(F.filter(F.zip_with("da", "db", lambda p, q: p == q), lambda e: e))
+    return (F.least("wa", "wb") >= (SIMILARITY - 1e-9) * F.greatest("wa", "wb")) & (same >= LEAST_DRAWS)
+
+
+def weighted_jaccards(a: tuple[np.ndarray, np.ndarray], ids: np.ndarray, weights: np.ndarray, starts: np.ndarray, totals: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """Of a (ids, weights) with each of many: their ids and weights in a row, where each starts, and its weight.  dense: zeros."""
+    dense[a[0]] = a[1]
+    low = np.add.reduceat(np.minimum(dense[ids], weights), starts)
+    dense[a[0]] = 0
+    return low / (a[1].sum() + totals - low)
+
+
+def open_links(several: DataFrame, classes: DataFrame, sets: DataFrame, common) -> DataFrame:
+    """Links (a, b) among all pairs of texts that share a bucket, are in different components and pass alike(): enough of them
+    to join whatever such pairs join.  several: key, fp, comp.
+
+    A bucket is dealt into pieces of about PIECE texts, and a task gets two pieces with their shingles: no bucket is one task,
+    and pairs aren't rows.  Texts without such a partner are left out first.
+    """
+    sent = several.sparkSession.sparkContext.broadcast(common)
+    pieces = several.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
+    rows = several.join(pieces, "key").join(classes.select("fp", "bands", "draws", "weight"), "fp")
+    rows = materialize(rows.withColumn("at", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")), "several")
+    each = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+    x = rows.select("key", each.alias("j"), "fp", "at", "pieces", F.col("comp").alias("ca"), F.col("bands").alias("ba"), F.col("draws").alias("da"), F.col("weight").alias("wa")).alias("x")
+    y = rows.select("key", F.col("at").alias("j"), F.col("comp").alias("cb"), F.col("bands").alias("bb"), F.col("draws").alias("db"), F.col("weight").alias("wb")).alias("y")
+    band = F.col("x.key.band")
+    earlier = F.exists(F.zip_with(F.slice("ba", F.lit(1), band), F.slice("bb", F.lit(1), band), lambda p, q: p == q), lambda e: e)
+    met = x.join(y, [F.col("x.key") == F.col("y.key"), F.col("x.j") == F.col("y.j"), (F.col("ca") != F.col("cb")) & alike() & ~earlier], "left_semi")
+    wanted = met.select("key", "fp", "at", "pieces", F.col("ca").alias("comp"), F.col("ba").alias("bands"), F.col("da").alias("draws")).dropDuplicates(["key", "fp"])
+    cells = wanted.withColumn("other", each).withColumns({"i": F.least("at", "other"), "j": F.greatest("at", "other")}).drop("other", "pieces")
+
+    def judge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        weights, band = Weights(sent.value), key[0]["band"]
+        part = part.sort_values("fp", ignore_index=True)
+        raw = [unpack(p, q) for p, q in zip(part["s"], part["c"], strict=True)]
+        size = [len(k) for k, _ in raw]
+        flat = np.concatenate([k for k, _ in raw])
+        w = weights.of(flat, np.concatenate([n for _, n in raw]))
+        kinds, ids = np.unique(flat, return_inverse=True)
+        dense, starts = np.zeros(len(kinds)), np.cumsum([0, *size])
+        totals = np.add.reduceat(w, starts[:-1])
+        draws, bands = np.stack(part["draws"].to_list()), np.stack(part["bands"].to_list())
+        comp = part["comp"].factorize()[0]
+        at, found = part["at"].to_numpy(), []
+        for r in range(len(part) - 1):
+            ok = comp[r + 1 :] != comp[r]
+            if key[1] != key[2]:
+                ok &= at[r + 1 :] != at[r]
+            ok &= np.minimum(totals[r + 1 :], totals[r]) >= (SIMILARITY - 1e-9) * np.maximum(totals[r + 1 :], totals[r])
+            to = np.flatnonzero(ok) + r + 1
+            to = to[((draws[to] == draws[r]).sum(1) >= LEAST_DRAWS) & ~(bands[to, :band] == bands[r, :band]).any(1)]
+            if not len(to):
+                continue
+            at_all = np.concatenate([np.arange(starts[k], starts[k + 1]) for k in to])
+            own = slice(starts[r], starts[r + 1])
+            near = weighted_jaccards((ids[own], w[own]), ids[at_all], w[at_all], np.cumsum([0, *(size[k] for k in to[:-1])]), totals[to], dense)
+            for k in to[near >= SIMILARITY]:
+                if comp[k] != comp[r]:
+                    found.append((part["fp"][r], part["fp"][k]))
+                    comp[comp == comp[k]] = comp[r]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return cells.join(sets, "fp").groupBy("key", "i", "j").applyInPandas(judge, "a string, b string")
+
+
 def link(members: DataFrame, classes: DataFrame, sets: DataFrame, common) -> DataFrame:
     """node, comp of all texts that have links.  members: key, fp of buckets.
 
-    Each text is compared with its buckets' centres: the least one first; where a bucket is then still in several components,
-    with CENTRES more, least by other orders, of another component.  That is linear in a bucket's size: no bucket is capped,
-    and none gives all its pairs.  Pairs whose draws agree in too few places for the threshold aren't verified.
+    Each text is compared with its buckets' centres first: the least one; where a bucket is then still in several components,
+    with CENTRES more, least by other orders, and twice with the text of most links so far, which is the original where many
+    copies of one are alike only through it.  What is then still in different components of a bucket is compared in full.
+    Pairs that can't reach the threshold (see alike()) aren't verified.
     """
     spark = members.sparkSession
 
     def probable(pairs: DataFrame) -> DataFrame:
-        x = classes.select(F.col("fp").alias("a"), F.col("draws").alias("da"))
-        y = classes.select(F.col("fp").alias("b"), F.col("draws").alias("db"))
-        same = F.size(F.filter(F.zip_with("da", "db", lambda p, q: p == q), lambda e: e))
-        return pairs.join(x, "a").join(y, "b").filter(same >= LEAST_DRAWS).select("a", "b")
+        x = classes.select(F.col("fp").alias("a"), F.col("draws").alias("da"), F.col("weight").alias("wa"))
+        y = classes.select(F.col("fp").alias("b"), F.col("draws").alias("db"), F.col("weight").alias("wb"))
+        return pairs.join(x, "a").join(y, "b").filter(alike()).select("a", "b")
+
+    def test(pairs: DataFrame) -> DataFrame:
+        with small_batches(spark):
+            out = materialize(verified(pairs, sets, common), "links")
+        clean_shuffles(spark)
+        return out
+
+    def undecided(comps: DataFrame) -> DataFrame:
+        placed = members.join(comps, members["fp"] == comps["node"], "left").select("key", "fp", F.coalesce("comp", "fp").alias("comp"))
+        several = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+        return materialize(placed.join(several, "key"), "several")
 
     centres = members.groupBy("key").agg(F.min("fp").alias("b"))
     ordered = [F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")]
     tested = materialize(probable(members.join(centres, "key").filter("fp <> b").select(*ordered).distinct()), "pairs")
-    with small_batches(spark):
-        edges = materialize(verified(tested, sets, common), "links")
+    edges = test(tested)
     comps = materialize(components(edges), "components")
-    clean_shuffles(spark)
-    placed = members.join(comps, members["fp"] == comps["node"], "left").select("key", "fp", F.coalesce("comp", "fp").alias("comp"))
-    several = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    several = materialize(placed.join(several, "key"), "several")
-    by = [F.min_by(F.struct("fp", "comp"), F.xxhash64("fp", F.lit(i))).alias(f"c{i}") for i in range(CENTRES)]
-    more = several.groupBy("key").agg(*by).select("key", F.explode(F.array(*[f"c{i}" for i in range(CENTRES)])).alias("c"))
-    more = more.select("key", F.col("c.fp").alias("b"), F.col("c.comp").alias("other")).distinct()
-    pairs = several.join(more, "key").filter("comp <> other").select(*ordered).distinct()
-    pairs = materialize(probable(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
-    with small_batches(spark):
-        new = materialize(verified(pairs, sets, common), "links")
+    for more in (CENTRES, 0):
+        several = undecided(comps)
+        degrees = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("links"))
+        by = [F.xxhash64("fp", F.lit(i)) for i in range(more)] + [F.struct(-F.coalesce("links", F.lit(0)), "fp")]
+        chosen = several.join(degrees, "fp", "left").groupBy("key").agg(*[F.min_by(F.struct("fp", "comp"), x).alias(f"c{i}") for i, x in enumerate(by)])
+        chosen = chosen.select("key", F.explode(F.array(*[f"c{i}" for i in range(len(by))])).alias("c")).select("key", F.col("c.fp").alias("b"), F.col("c.comp").alias("other")).distinct()
+        pairs = several.join(chosen, "key").filter("comp <> other").select(*ordered).distinct()
+        pairs = materialize(probable(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested, new = tested.union(pairs), test(pairs)
+        if not new.isEmpty():
+            edges = edges.union(new)
+            comps = materialize(components(edges), "components")
+    new = materialize(open_links(undecided(comps), classes, sets, common), "links")
     clean_shuffles(spark)
     return comps if new.isEmpty() else materialize(components(edges.union(new)), "components")
 
@@ -421,7 +507,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     _, common = common_shingles(rows.select("t"))
     signed = materialize(signatures(rows, common), "signatures")
     number = F.col("id").cast(id_type)
-    classes = materialize(signed.groupBy("fp").agg(F.min(number).alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("draws").alias("draws")), "classes")
+    classes = materialize(signed.groupBy("fp").agg(F.min(number).alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("draws").alias("draws"), F.first("weight").alias("weight")), "classes")
     members = materialize(buckets(classes), "buckets")
     wanted = members.select("fp").distinct().join(classes, "fp").select("fp", F.col("rep").cast("string").alias("id")).filter("id IS NOT NULL")
     texts = rows.join(wanted.select("id"), "id", "left_semi")

@@ -105,6 +105,44 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == {i: find(i) for i in texts}
 
 
+def test_star_of_copies_is_one_class(spark):
+    """Copies that are alike only through their original, which centres of buckets miss."""
+    rnd = random.Random(5)
+    base = [rnd.choice(WORDS) for _ in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 301):
+        w = list(base)
+        for at in rnd.sample(range(0, 400, 5), 5):
+            w[at] = "edit%d" % rnd.randrange(10**9)
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, prose(rnd, 50)) for i in range(100)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in range(301) if got[i]] == []
+
+
+def test_pairs_without_centres_are_all_judged(spark, monkeypatch):
+    """open_links() alone, of buckets in several pieces, joins what verifying every pair joins."""
+    monkeypatch.setattr(near_dedup, "PIECE", 7)
+    rnd = random.Random(6)
+    base = [rnd.choice(WORDS) for _ in range(100)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for at in rnd.sample(range(0, 100, 5), 1 + i % 3):
+            w[at] = "edit%d" % rnd.randrange(10**9)
+        rows.append((" ".join(w),))
+    docs = spark.createDataFrame(rows, "t string")
+    common = (np.zeros(0, np.uint64), np.zeros(0))
+    classes = near_dedup.materialize(near_dedup.signatures(docs.select(F.lit("1").alias("id"), "t"), common), "classes")
+    sets = near_dedup.shingle_sets(docs)
+    members = near_dedup.buckets(classes)
+    got = near_dedup.open_links(members.withColumn("comp", F.col("fp")), classes, sets, common)
+    pairs = classes.select(F.col("fp").alias("a")).crossJoin(classes.select(F.col("fp").alias("b"))).filter("a < b")
+    want = near_dedup.verified(pairs, sets, common)
+    parts = lambda links: sorted(map(tuple, near_dedup.components(links).collect()))
+    assert parts(got) == parts(want) != []
+
+
 def test_icws_estimates_weighted_jaccard():
     rng = np.random.default_rng(2)
     s = np.sort(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
