@@ -44,7 +44,8 @@ PIECE = 256
 COMMON, IDF_FLOOR = 0.01, 0.5
 #: A shingle is common in this many documents at least.
 LEAST_COMMON = 5
-#: Documents of a chunk that names candidates, and the largest table of common shingles that is sent to tasks.
+#: Documents of a chunk that names candidates, and the most candidates that are sent to tasks to be counted; more are counted
+#: by the cluster.
 CHUNK = 4000
 MOST_COMMON = 1_000_000
 #: Random triples of a hash; elements that share one are told apart by their own hash.
@@ -191,7 +192,10 @@ class Sampler:
 
 
 def common_shingles(docs: DataFrame) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
-    """Number of documents, and (sorted shingles, idf) of all shingles in over COMMON of them.  docs: t."""
+    """Number of documents, and (sorted shingles, idf) of all shingles in at least COMMON of them.  docs: t.
+
+    There are at most 1 / COMMON times as many of those as a document has shingles on average, whatever the number of documents.
+    """
     schema = "s long, n long, docs long"
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,7 +203,7 @@ def common_shingles(docs: DataFrame) -> tuple[int, tuple[np.ndarray, np.ndarray]
 
         def chunk() -> pd.DataFrame:
             s, c = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-            many = c > COMMON * n
+            many = c >= COMMON * n
             return pd.DataFrame({"s": np.append(s[many].view(np.int64), 0), "n": np.append(c[many], -1), "docs": n})
 
         for batch in batches:
@@ -213,13 +217,26 @@ def common_shingles(docs: DataFrame) -> tuple[int, tuple[np.ndarray, np.ndarray]
 
     named = materialize(docs.mapInPandas(name, schema), "common")
     total = named.filter("n = -1").agg(F.sum("docs")).first()[0] or 0
-    share, limit = COMMON, max(1, MOST_COMMON)
-    found = named.filter("n > 0").groupBy("s").agg(F.sum("n").alias("n"))
-    while True:  # candidates beyond the bound: only those of the commonest chunks, which raises the share for all documents alike
-        some = named.filter((F.col("n") > 0) & (F.col("n") > share * F.col("docs"))).select("s").distinct() if share > COMMON else found.select("s")
-        if some.count() <= limit:
-            break
-        share *= 2
+    least = max(COMMON * total, LEAST_COMMON)
+
+    def result(counted: DataFrame) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
+        exact = counted.groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
+        s = exact["s"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(s)
+        return total, (s[order], idf_of(exact["n"].to_numpy(np.float64)[order], total))
+
+    some = named.filter("n > 0").select("s").distinct()
+    if some.count() > MOST_COMMON:  # small chunks name nearly all their shingles: counted by the cluster, no list is sent
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            shingler = Shingler()
+            for batch in batches:
+                for part in np.array_split(np.arange(len(batch)), len(batch) // 64 + 1):
+                    found = [s for s, _ in shingler.sets([shingler.plain(batch["t"].iat[i]) for i in part])]
+                    s, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+                    yield pd.DataFrame({"s": s.view(np.int64), "n": n})
+
+        return result(docs.mapInPandas(each, "s long, n long"))
     keys = np.sort(some.toPandas()["s"].to_numpy(np.int64).view(np.uint64))
     if not len(keys):
         return total, (keys, np.zeros(0))
@@ -235,10 +252,7 @@ def common_shingles(docs: DataFrame) -> tuple[int, tuple[np.ndarray, np.ndarray]
                 n[at[keys[at] == s]] += 1
         yield pd.DataFrame({"s": keys[n > 0].view(np.int64), "n": n[n > 0]})
 
-    exact = docs.mapInPandas(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(share * total, LEAST_COMMON)).toPandas()
-    s = exact["s"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(s)
-    return total, (s[order], idf_of(exact["n"].to_numpy(np.float64)[order], total))
+    return result(docs.mapInPandas(count, "s long, n long"))
 
 
 def signatures(docs: DataFrame, common) -> DataFrame:

@@ -143,6 +143,19 @@ def test_pairs_without_centres_are_all_judged(spark, monkeypatch):
     assert parts(got) == parts(want) != []
 
 
+def test_common_shingles_do_not_depend_on_the_candidate_bound(spark, monkeypatch):
+    """Also where each document is a partition, whose chunk names all its shingles."""
+    rnd = random.Random(9)
+    line = [prose(rnd, 8) for _ in range(6)]
+    rows = [(" ".join([prose(rnd, 9)] + [x for k, x in enumerate(line) if i % (8 << k) == 0]),) for i in range(640)]
+    docs = spark.createDataFrame(rows, "t string")
+    total, (keys, idf) = near_dedup.common_shingles(docs.coalesce(1))
+    assert len(keys) and idf.max() > 0.9
+    monkeypatch.setattr(near_dedup, "MOST_COMMON", 3)
+    again, (same, also) = near_dedup.common_shingles(docs.repartition(40))
+    assert (total, keys.tolist(), idf.tolist()) == (again, same.tolist(), also.tolist())
+
+
 def test_icws_estimates_weighted_jaccard():
     rng = np.random.default_rng(2)
     s = np.sort(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
