@@ -514,8 +514,8 @@ def link(members: DataFrame, classes: DataFrame, sets: DataFrame, common) -> Dat
     return comps if new.isEmpty() else materialize(components(edges.union(new)), "components")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row a document: doc_id, class_id (the least id of its class) and n_copies, the number of its class's documents."""
+def classed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """One row a document: id (string), fp, comp (the fp that names its class), class_id and n_copies."""
     id_type = docs.schema[doc_id].dataType
     rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     _, common = common_shingles(rows.select("t"))
@@ -523,23 +523,38 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     number = F.col("id").cast(id_type)
     classes = materialize(signed.groupBy("fp").agg(F.min(number).alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("draws").alias("draws"), F.first("weight").alias("weight")), "classes")
     members = materialize(buckets(classes), "buckets")
-    wanted = members.select("fp").distinct().join(classes, "fp").select("fp", F.col("rep").cast("string").alias("id")).filter("id IS NOT NULL")
-    texts = rows.join(wanted.select("id"), "id", "left_semi")
+    wanted = members.select("fp").distinct().join(classes, "fp").select("fp", F.col("rep").cast("string").alias("id"))
+    texts = rows.join(wanted.filter("id IS NOT NULL").select("id"), "id", "left_semi").unionByName(rows.filter("id IS NULL"))  # a text may have null ids only
     sets = shingle_sets(texts.select("t")).join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
     comps = link(members, classes, materialize(sets, "shingles"), common)
     named = classes.join(comps, classes["fp"] == comps["node"], "left").select("fp", "rep", "n", F.coalesce("comp", "fp").alias("comp"))
     heads = named.groupBy("comp").agg(F.min("rep").alias("class_id"), F.sum("n").alias("n_copies"))
-    place = named.join(heads, "comp").select("fp", "class_id", "n_copies")
-    return signed.select("id", "fp").join(place, "fp").select(number.alias("doc_id"), "class_id", "n_copies")
+    place = named.join(heads, "comp").select("fp", "comp", "class_id", "n_copies")
+    return signed.select("id", "fp").join(place, "fp")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row a document: doc_id, class_id (the least id of its class) and n_copies, the number of its class's documents."""
+    return classed(docs, text, doc_id).select(F.col("id").cast(docs.schema[doc_id].dataType).alias("doc_id"), "class_id", "n_copies")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with one document of each class: that of the least id.  Documents without an id stay, as nothing tells them apart."""
-    found = near_duplicates(docs, text, doc_id)
-    keep = found.filter("doc_id = class_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
-    out = docs.join(materialize(keep, "kept"), docs[doc_id] == F.col("__id")).drop("__id")
-    once, repeated = out.filter("__n = 1").drop("__n"), out.filter("__n > 1").drop("__n").dropDuplicates([doc_id])
-    return once.unionByName(repeated).unionByName(docs.filter(F.col(doc_id).isNull())).select(*docs.columns)
+    """docs with one document of each class: that of the least id, or any where no document of the class has one.  Documents
+    are told apart by id and words, so that classes whose least ids are equal keep a document each."""
+    number = F.col("id").cast(docs.schema[doc_id].dataType)
+    alike = classed(docs, text, doc_id).groupBy("comp", "fp", "id").agg(F.count(F.lit(1)).alias("n"))
+    heads = alike.groupBy("comp").agg(F.min_by(F.struct("id", "fp", "n"), F.struct(F.col("id").isNull(), number, "fp")).alias("k"))
+    heads = materialize(heads.select(F.col("k.id").alias("__id"), F.col("k.fp").alias("__head"), F.col("k.n").alias("__n")), "kept")
+
+    @F.pandas_udf("string")
+    def printed(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: fingerprint(Shingler.plain(x)))
+
+    own = docs.withColumn("__fp", printed(F.coalesce(F.col(text), F.lit(""))))
+    out = own.join(heads, (F.col(doc_id).cast("string") == F.col("__id")) & (F.col("__fp") == F.col("__head")))
+    once, repeated = out.filter("__n = 1"), out.filter("__n > 1").dropDuplicates(["__id", "__head"])
+    nameless = own.filter(F.col(doc_id).isNull()).dropDuplicates(["__fp"]).join(heads.filter("__id IS NULL").select("__head"), F.col("__fp") == F.col("__head"), "left_semi")
+    return once.select(*docs.columns).unionByName(repeated.select(*docs.columns)).unionByName(nameless.select(*docs.columns))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,6 +156,19 @@ def test_common_shingles_do_not_depend_on_the_candidate_bound(spark, monkeypatch
     assert (total, keys.tolist(), idf.tolist()) == (again, same.tolist(), also.tolist())
 
 
+def test_documents_without_own_ids_are_told_apart(spark):
+    """Near-copies without ids are one class, and keep one document; texts that share an id keep one each."""
+    rnd = random.Random(4)
+    base, other, first = prose(rnd, 200), prose(rnd, 100), prose(rnd, 100)
+    rows = [(None, base), (None, base), (None, base + " extra"), (5, other), (5, first), (6, other + " extra"), (5, first)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_copies"]) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == {(None, 3): 3, (5, 2): 3, (6, 2): 1}
+    kept = near_dedup.one_of_each(docs).collect()
+    assert sorted(r["text"] for r in kept if r["doc_id"] == 5) == sorted([other, first])
+    assert len(kept) == 3 and sum(r["doc_id"] is None for r in kept) == 1
+
+
 def test_icws_estimates_weighted_jaccard():
     rng = np.random.default_rng(2)
     s = np.sort(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
