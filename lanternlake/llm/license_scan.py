@@ -1,6 +1,6 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences, each is normalised (lower case, one space between words, no marks at its ends) and looked up
+A text is cut into sentences, which may be wrapped over lines (of comments, too), each is normalised (lower case, one space between words, no marks at its ends) and looked up
 among the known licence sentences; the identifiers found, in order, are matched against ordered licence rules: the first rule
 that matches a stretch of identifiers names its licence and takes the stretch.  DataFrame functions only; no shuffle.
 
@@ -82,6 +82,12 @@ RULES = [
 HINT = r"(?i)licen[sc]e|licensed|permission|redistribut|public domain|free software|rights reserved"
 #: Ends of sentences: a line's end, or a mark before white space.
 ENDS = r"\n+|(?<=[.;:!?])[\x20\x09-\x0D]+"
+#: HINT, with its words on two lines, too.
+HINT_WRAPPED = HINT.replace(" ", r"[\s#*/>;%!-]+")
+#: A line's end that may be within a sentence: no mark before it, and a line that isn't empty after it; with the mark of a
+#: comment at that line's start.  WRAP takes its place until the sentences are cut.
+SOFT = r"(?<=[^.;:!?\s])[\x20\t\r]*\n[\x20\t]*+(?:<!--|[#*>/;%!-]++)?+[\x20\t]*+(?=[^\s])"
+WRAP = "\ue000\ue001"
 
 
 def normalise(sentence: Column) -> Column:
@@ -90,9 +96,16 @@ def normalise(sentence: Column) -> Column:
 
 
 def identifiers(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
+    """Identifiers of the known sentences of a text, in order: of whole sentences, else of their single lines."""
     known = F.create_map(*[F.lit(x) for pair in ((normalised(k), v) for k, v in SENTENCES.items()) for x in pair])
-    return F.filter(F.transform(F.split(text, ENDS), lambda s: F.element_at(known, normalise(s))), lambda x: x.isNotNull())
+    find = lambda s: F.element_at(known, normalise(s))
+
+    def ids(sentence: Column) -> Column:
+        lines = F.transform(F.split(sentence, WRAP), find)
+        return let(find(F.replace(sentence, F.lit(WRAP), F.lit(" "))), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(lines))
+
+    cut = F.split(F.regexp_replace(text, SOFT, WRAP), ENDS)
+    return F.filter(F.flatten(F.transform(cut, ids)), lambda x: x.isNotNull())
 
 
 def normalised(sentence: str) -> str:
@@ -116,7 +129,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with license_ids and licenses (array<string>)."""
     t = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<string>")
-    out = docs.withColumn("license_ids", F.when(t.rlike(HINT), identifiers(t)).otherwise(none))
+    out = docs.withColumn("license_ids", F.when(t.rlike(HINT_WRAPPED), identifiers(t)).otherwise(none))
     return out.withColumn("licenses", F.when(F.size("license_ids") > 0, let(F.col("license_ids"), apply_rules)).otherwise(none))
 
 

@@ -296,6 +296,26 @@ def test_mixing_meets_targets(spark):
     assert sum(target.values()) == pytest.approx(total)
 
 
+def test_wrapped_licenses(spark):
+    """Licence texts wrapped at 72 columns, bare and in comments."""
+    import textwrap
+
+    of = {v: k for k, v in license_scan.SENTENCES.items()}
+    mit = ["MIT License", "Copyright (c) 2020 A. Person", of["mit_grant"] + ":", of["mit_notice"] + "."]
+    bsd = [of["bsd_head"] + ":", "1. " + of["bsd_1"] + ".", "2. " + of["bsd_2"] + ".", "3. " + of["bsd_3"] + "."]
+    gpl = ["Copyright (c) 2020 A. Person", of["gpl_free"] + ": " + of["gpl3_terms"] + "."]
+    isc = ["Copyright (c) 2020 A. Person", of["isc_grant"] + "."]
+    want = [(mit, "MIT"), (bsd, "BSD-3-Clause"), (bsd[:3], "BSD-2-Clause"), (gpl, "GPL-3.0-or-later"), (isc, "ISC")]
+    rows = []
+    for n, (paragraphs, name) in enumerate(want):
+        for lead in ("", "# ", " * ", "// ", ";; "):
+            lines = "\n\n".join(textwrap.fill(x, 72) for x in paragraphs).split("\n")
+            rows += [(n, name, end.join((lead + x).rstrip() for x in lines)) for end in ("\n", "\r\n")]
+    got = license_scan.scan(spark.createDataFrame(rows, "n int, name string, text string")).collect()
+    assert [(r["name"], r["text"]) for r in got if r["licenses"] != [r["name"]]] == []
+    assert {tuple(r["license_ids"]) for r in got if r["n"] == 0} == {("mit_title", "mit_grant", "mit_notice")}
+
+
 def test_licenses(spark):
     texts = ["Released under the MIT License.", "x\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "We talk of the MIT License here.", None]
     got = [r["licenses"] for r in license_scan.scan(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
