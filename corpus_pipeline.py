@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternlake.llm import line_dedup, near_dedup, packing, quality_rules, source_mixing
-from lanternlake.llm.common import materialize, release, table
+from lanternlake.llm.common import materialize, scratch, table
 
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +16,6 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: lines that a site repeats on its pages go; n_chars follows the text."""
-    release(spark)  # docs is written: what the stage before used can go
     names = docs.columns
     out = line_dedup.dedup_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*names)
@@ -24,19 +23,16 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: one document of each group of near-duplicates stays."""
-    release(spark)  # docs is written: what the stage before used can go
     return near_dedup.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: each document comes as often as the mix takes it, up to three times."""
-    release(spark)  # docs is written: what the stage before used can go
     return source_mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: the pieces' places in training sequences."""
-    release(spark)  # docs is written: what the stage before used can go
     return packing.pack(docs, carry={"ids_crc32": F.crc32("ids")})
 
 
@@ -53,7 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name, keep=True)
-    return docs
+    """The last stage's rows.  What a stage used is deleted once its result is written."""
+
+    def after(docs: DataFrame, stages: list) -> DataFrame:
+        if not stages:
+            return docs
+        name, stage = stages[-1]
+        with scratch(spark):
+            return materialize(stage(spark, after(docs, stages[:-1]), sf_dir), name, keep=True)
+
+    return after(table(spark, sf_dir, "documents"), STAGES)
