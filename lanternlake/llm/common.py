@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,38 +22,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where that is unset and Spark is local
+    (tests).  On a cluster an unset folder is an error, as executors can't see one of the driver's."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lanternlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-#: Paths that materialize() wrote and release() may delete.
-_written: list[str] = []
+#: Paths that materialize() wrote, by the scratch() blocks that are open in this context, innermost last.
+_open: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scratch", default=())
 
 
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: cuts lineage, and lost executors only cost a re-read.
 
-    keep: release() leaves it alone.
+    The innermost scratch() block deletes it at its end; keep: the next outer one does, if there is any.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lanternlake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not keep:
-        _written.append(path)
+    blocks = _open.get()[: -1 if keep else None]
+    if blocks:
+        blocks[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what materialize() wrote so far: for callers that have written their results of it elsewhere."""
-    jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    clean_shuffles(spark)
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What materialize() writes within the block is deleted at its end, and nothing else: for work whose result is written
+    (keep=True) before the block ends."""
+    paths: list[str] = []
+    token = _open.set((*_open.get(), paths))
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        jvm = spark.sparkContext._jvm
+        for path in map(jvm.org.apache.hadoop.fs.Path, paths):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        clean_shuffles(spark)
 
 
 def clean_shuffles(spark: SparkSession) -> None:

@@ -20,33 +20,34 @@ an empty result.
 
 from __future__ import annotations
 
-import contextlib
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import clean_shuffles, materialize, table
+from .common import clean_shuffles, materialize, scratch, table
 
 WORDS = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 4, 14
 SEED = 5
 #: Further centres of a bucket in several components, and draws of ROWS * BANDS that agree at least where the similarity is
-#: SIMILARITY: four deviations under the mean.
-CENTRES, LEAST_DRAWS = 4, 32
+#: SIMILARITY, but for odds of 2 in 10 million.
+CENTRES, LEAST_DRAWS = 4, 28
 #: Texts of a bucket that a task compares with as many others.
 PIECE = 256
 #: Share of documents from which a shingle is common, and the least weight of a shingle.
 COMMON, IDF_FLOOR = 0.01, 0.5
 #: A shingle is common in this many documents at least.
 LEAST_COMMON = 5
-#: Documents of a chunk that names candidates, and the most candidates that are sent to tasks to be counted; more are counted
-#: by the cluster.
-CHUNK = 4000
+#: Documents and shingles of a chunk that names candidates, and the most candidates that are sent to tasks to be counted; more
+#: are counted by the cluster.
+CHUNK, CHUNK_SHINGLES = 4000, 1_500_000
 MOST_COMMON = 1_000_000
 #: Random triples of a hash; elements that share one are told apart by their own hash.
 TRIPLES = 4096
@@ -120,6 +121,24 @@ class Shingler:
         return out
 
 
+def slices(texts: pa.Array) -> Iterator[list[bytes]]:
+    """plain() texts of an Arrow column, about BLOCK_BYTES at a time: a worker never holds a whole batch as Python objects."""
+    held, size = [], 0
+    for x in texts:
+        held.append(Shingler.plain(x.as_py()))
+        size += len(held[-1])
+        if size >= BLOCK_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def record(**columns) -> pa.RecordBatch:
+    """A batch of columns; binary and text columns are lists, others arrays."""
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
+
+
 def fingerprint(text: bytes) -> str:
     """Of the words of a plain() text."""
     return hashlib.md5(b" ".join(text.split())).hexdigest()
@@ -198,24 +217,26 @@ def common_shingles(docs: DataFrame) -> tuple[int, tuple[np.ndarray, np.ndarray]
     """
     schema = "s long, n long, docs long"
 
-    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, n, size = Shingler(), [], 0, 0
 
-        def chunk() -> pd.DataFrame:
+        def chunk() -> pa.RecordBatch:
             s, c = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
             many = c >= COMMON * n
-            return pd.DataFrame({"s": np.append(s[many].view(np.int64), 0), "n": np.append(c[many], -1), "docs": n})
+            s, c = np.append(s[many].view(np.int64), 0), np.append(c[many], -1)
+            return record(s=s, n=c, docs=np.full(len(s), n))
 
         for batch in batches:
-            for s, _ in shingler.sets([shingler.plain(t) for t in batch["t"]]):
-                held.append(s)
-                n, size = n + 1, size + len(held[-1])
-                if n >= CHUNK or size >= 4_000_000:
-                    yield chunk()
-                    held, n, size = [], 0, 0
+            for texts in slices(batch.column("t")):
+                for s, _ in shingler.sets(texts):
+                    held.append(s)
+                    n, size = n + 1, size + len(held[-1])
+                    if n >= CHUNK or size >= CHUNK_SHINGLES:
+                        yield chunk()
+                        held, n, size = [], 0, 0
         yield chunk()
 
-    named = materialize(docs.mapInPandas(name, schema), "common")
+    named = materialize(docs.mapInArrow(name, schema), "common")
     total = named.filter("n = -1").agg(F.sum("docs")).first()[0] or 0
     least = max(COMMON * total, LEAST_COMMON)
 
@@ -228,31 +249,31 @@ def common_shingles(docs: DataFrame) -> tuple[int, tuple[np.ndarray, np.ndarray]
     some = named.filter("n > 0").select("s").distinct()
     if some.count() > MOST_COMMON:  # small chunks name nearly all their shingles: counted by the cluster, no list is sent
 
-        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingler = Shingler()
             for batch in batches:
-                for part in np.array_split(np.arange(len(batch)), len(batch) // 64 + 1):
-                    found = [s for s, _ in shingler.sets([shingler.plain(batch["t"].iat[i]) for i in part])]
-                    s, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-                    yield pd.DataFrame({"s": s.view(np.int64), "n": n})
+                for texts in slices(batch.column("t")):
+                    s, n = np.unique(np.concatenate([s for s, _ in shingler.sets(texts)]), return_counts=True)
+                    yield record(s=s.view(np.int64), n=n)
 
-        return result(docs.mapInPandas(each, "s long, n long"))
+        return result(docs.mapInArrow(each, "s long, n long"))
     keys = np.sort(some.toPandas()["s"].to_numpy(np.int64).view(np.uint64))
     if not len(keys):
         return total, (keys, np.zeros(0))
     sent = docs.sparkSession.sparkContext.broadcast(keys)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, keys = Shingler(), sent.value
         n = np.zeros(len(keys), np.int64)
         for batch in batches:
-            for s, _ in shingler.sets([shingler.plain(t) for t in batch["t"]]):
-                at = np.searchsorted(keys, s)
-                at[at == len(keys)] = 0
-                n[at[keys[at] == s]] += 1
-        yield pd.DataFrame({"s": keys[n > 0].view(np.int64), "n": n[n > 0]})
+            for texts in slices(batch.column("t")):
+                for s, _ in shingler.sets(texts):
+                    at = np.searchsorted(keys, s)
+                    at[at == len(keys)] = 0
+                    n[at[keys[at] == s]] += 1
+        yield record(s=keys[n > 0].view(np.int64), n=n[n > 0])
 
-    return result(docs.mapInPandas(count, "s long, n long"))
+    return result(docs.mapInArrow(count, "s long, n long"))
 
 
 def signatures(docs: DataFrame, common) -> DataFrame:
@@ -260,57 +281,50 @@ def signatures(docs: DataFrame, common) -> DataFrame:
     (of all shingles)."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sampler, weights = Shingler(), Sampler(), Weights(sent.value)
+        n = ROWS * BANDS
 
-        def block(ids, fps, parts) -> pd.DataFrame:
-            bands, draws = [np.zeros(0, np.int64)] * len(ids), [np.zeros(0, np.int32)] * len(ids)
-            total = np.zeros(len(ids))
-            full = [i for i, (s, _) in enumerate(parts) if len(s)]
-            if full:
+        def block(ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
+            parts = shingler.sets(texts)
+            sizes = np.asarray([len(s) for s, _ in parts])
+            full = np.flatnonzero(sizes)
+            bands, draws, total = np.zeros((0, BANDS), np.int64), np.zeros((0, n), np.int32), np.zeros(len(texts))
+            if len(full):
                 s, c = (np.concatenate([parts[i][k] for i in full]) for k in (0, 1))
-                starts = np.cumsum([0] + [len(parts[i][0]) for i in full[:-1]])
+                starts = np.cumsum(np.append(0, sizes[full][:-1]))
                 w = weights.of(s, c)
                 total[full] = np.add.reduceat(w, starts)
                 drawn = sampler.draw(s, w, starts)
-                for i, b, d in zip(full, sampler.bands(drawn), drawn.view(np.int32), strict=True):
-                    bands[i], draws[i] = b, d
-            return pd.DataFrame({"id": pd.array(ids, dtype="string"), "fp": fps, "bands": bands, "draws": draws, "weight": total})
+                bands, draws = sampler.bands(drawn), drawn.view(np.int32)
+            ends = np.cumsum(np.append(0, sizes > 0)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends * m, x.reshape(-1)) for m, x in ((BANDS, bands), (n, draws))]
+            return record(id=ids, fp=list(map(fingerprint, texts)), bands=lists[0], draws=lists[1], weight=total)
 
         for batch in batches:
-            ids, fps, parts, size = [], [], [], 0
-            plain = [shingler.plain(t) for t in batch["t"]]
-            for i, t, part in zip(batch["id"], plain, shingler.sets(plain), strict=True):
-                ids.append(i)
-                fps.append(fingerprint(t))
-                parts.append(part)
-                size += len(part[0])
-                if size >= BLOCK:
-                    yield block(ids, fps, parts)
-                    ids, fps, parts, size = [], [], [], 0
-            if ids:
-                yield block(ids, fps, parts)
-
-    return docs.mapInPandas(run, "id string, fp string, bands array<long>, draws array<int>, weight double")
+            at = 0
+            for texts in slices(batch.column("t")):
+                yield block(batch.column("id").slice(at, len(texts)), texts)
+                at += len(texts)
+
+    return docs.mapInArrow(run, "id string, fp string, bands array<long>, draws array<int>, weight double")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """docs (t): fp and the text's shingles (sorted, distinct; uint64) and their counts (uint32), as binary."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            rows = []
-            plain = [shingler.plain(t) for t in batch["t"]]
-            for t, (s, c) in zip(plain, shingler.sets(plain), strict=True):
-                odd = np.flatnonzero(c > 1)  # counts above one only: place and count
-                rows.append((fingerprint(t), s.astype("<u8").tobytes(), np.stack([odd, c[odd]]).astype("<u4").tobytes()))
-                if len(rows) >= 1000:
-                    yield pd.DataFrame(rows, columns=["fp", "s", "c"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["fp", "s", "c"])
+            for texts in slices(batch.column("t")):
+                keys, counts = [], []
+                for s, c in shingler.sets(texts):
+                    odd = np.flatnonzero(c > 1)  # counts above one only: place and count
+                    keys.append(s.astype("<u8").tobytes())
+                    counts.append(np.stack([odd, c[odd]]).astype("<u4").tobytes())
+                yield record(fp=list(map(fingerprint, texts)), s=pa.array(keys, pa.binary()), c=pa.array(counts, pa.binary()))
 
-    return docs.mapInPandas(run, "fp string, s binary, c binary")
+    return docs.mapInArrow(run, "fp string, s binary, c binary")
 
 
 def unpack(s: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -329,18 +343,6 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(low / high) if high > 0 else 1.0
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 256):
-    """Pairs carry two whole shingle sets each: fewer of them in a Python worker's batch."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def verified(pairs: DataFrame, sets: DataFrame, common) -> DataFrame:
     """The pairs (a, b) of fingerprints whose weighted Jaccard similarity reaches SIMILARITY.  A centre with many partners is a
     skewed join key, which adaptive execution splits."""
@@ -349,20 +351,21 @@ def verified(pairs: DataFrame, sets: DataFrame, common) -> DataFrame:
     right = sets.select(F.col("fp").alias("b"), F.col("s").alias("sb"), F.col("c").alias("cb"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "ca", "sb", "cb")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(sent.value)
         last: tuple = (None, None)
         for batch in batches:
             keep = []
-            for b, sa, ca, sb, cb in zip(batch["b"], batch["sa"], batch["ca"], batch["sb"], batch["cb"], strict=True):
+            for b, *packed in zip(*(batch.column(k) for k in ("b", "sa", "ca", "sb", "cb")), strict=True):
+                sa, ca, sb, cb = (x.as_py() for x in packed)
                 x = unpack(sa, ca)
                 if last[0] != b:  # one centre's rows stand together
                     y = unpack(sb, cb)
                     last = (b, (y[0], weights.of(*y)))
                 keep.append(weighted_jaccard((x[0], weights.of(*x)), last[1]) >= SIMILARITY)
-            yield batch.loc[np.asarray(keep, bool), ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInPandas(run, "a string, b string")
+    return joined.mapInArrow(run, "a string, b string")
 
 
 # ---------------------------------------------------------------------------------------------------- components
@@ -482,8 +485,7 @@ def link(members: DataFrame, classes: DataFrame, sets: DataFrame, common) -> Dat
         return pairs.join(x, "a").join(y, "b").filter(alike()).select("a", "b")
 
     def test(pairs: DataFrame) -> DataFrame:
-        with small_batches(spark):
-            out = materialize(verified(pairs, sets, common), "links")
+        out = materialize(verified(pairs, sets, common), "links")
         clean_shuffles(spark)
         return out
 
@@ -515,41 +517,48 @@ def link(members: DataFrame, classes: DataFrame, sets: DataFrame, common) -> Dat
 
 
 def classed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """One row a document: id (string), fp, comp (the fp that names its class), class_id and n_copies."""
+    """One row a document: id (string), fp, comp (the fp that names its class), class_id and n_copies.  Written: all that led to
+    it is deleted."""
     id_type = docs.schema[doc_id].dataType
     rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    _, common = common_shingles(rows.select("t"))
-    signed = materialize(signatures(rows, common), "signatures")
     number = F.col("id").cast(id_type)
-    classes = materialize(signed.groupBy("fp").agg(F.min(number).alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("draws").alias("draws"), F.first("weight").alias("weight")), "classes")
-    members = materialize(buckets(classes), "buckets")
-    wanted = members.select("fp").distinct().join(classes, "fp").select("fp", F.col("rep").cast("string").alias("id"))
-    texts = rows.join(wanted.filter("id IS NOT NULL").select("id"), "id", "left_semi").unionByName(rows.filter("id IS NULL"))  # a text may have null ids only
-    sets = shingle_sets(texts.select("t")).join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
-    comps = link(members, classes, materialize(sets, "shingles"), common)
-    named = classes.join(comps, classes["fp"] == comps["node"], "left").select("fp", "rep", "n", F.coalesce("comp", "fp").alias("comp"))
-    heads = named.groupBy("comp").agg(F.min("rep").alias("class_id"), F.sum("n").alias("n_copies"))
-    place = named.join(heads, "comp").select("fp", "comp", "class_id", "n_copies")
-    return signed.select("id", "fp").join(place, "fp")
+    with scratch(docs.sparkSession):
+        _, common = common_shingles(rows.select("t"))
+        signed = materialize(signatures(rows, common), "signatures")
+        classes = materialize(signed.groupBy("fp").agg(F.min(number).alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("draws").alias("draws"), F.first("weight").alias("weight")), "classes")
+        members = materialize(buckets(classes), "buckets")
+        wanted = members.select("fp").distinct().join(classes, "fp").select("fp", F.col("rep").cast("string").alias("id"))
+        texts = rows.join(wanted.filter("id IS NOT NULL").select("id"), "id", "left_semi").unionByName(rows.filter("id IS NULL"))  # a text may have null ids only
+        sets = shingle_sets(texts.select("t")).join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
+        comps = link(members, classes, materialize(sets, "shingles"), common)
+        named = classes.join(comps, classes["fp"] == comps["node"], "left").select("fp", "rep", "n", F.coalesce("comp", "fp").alias("comp"))
+        heads = named.groupBy("comp").agg(F.min("rep").alias("class_id"), F.sum("n").alias("n_copies"))
+        place = named.join(heads, "comp").select("fp", "comp", "class_id", "n_copies")
+        return materialize(signed.select("id", "fp").join(place, "fp"), "classed", keep=True)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row a document: doc_id, class_id (the least id of its class) and n_copies, the number of its class's documents."""
+    """One row a document: doc_id, class_id (the least id of its class) and n_copies, the number of its class's documents.
+
+    Documents whose classes have the same least id (repeated ids of different texts) share a class_id; one_of_each() tells
+    them apart."""
     return classed(docs, text, doc_id).select(F.col("id").cast(docs.schema[doc_id].dataType).alias("doc_id"), "class_id", "n_copies")
 
 
+@F.arrow_udf(StringType())
+def printed(texts: pa.Array) -> pa.Array:
+    """fingerprint() of each text."""
+    return pa.array([fingerprint(Shingler.plain(x.as_py())) for x in texts], pa.string())
+
+
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with one document of each class: that of the least id, or any where no document of the class has one.  Documents
     are told apart by id and words, so that classes whose least ids are equal keep a document each."""
     number = F.col("id").cast(docs.schema[doc_id].dataType)
-    alike = classed(docs, text, doc_id).groupBy("comp", "fp", "id").agg(F.count(F.lit(1)).alias("n"))
-    heads = alike.groupBy("comp").agg(F.min_by(F.struct("id", "fp", "n"), F.struct(F.col("id").isNull(), number, "fp")).alias("k"))
-    heads = materialize(heads.select(F.col("k.id").alias("__id"), F.col("k.fp").alias("__head"), F.col("k.n").alias("__n")), "kept")
-
-    @F.pandas_udf("string")
-    def printed(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: fingerprint(Shingler.plain(x)))
-
+    with scratch(docs.sparkSession):
+        alike = classed(docs, text, doc_id).groupBy("comp", "fp", "id").agg(F.count(F.lit(1)).alias("n"))
+        heads = alike.groupBy("comp").agg(F.min_by(F.struct("id", "fp", "n"), F.struct(F.col("id").isNull(), number, "fp")).alias("k"))
+        heads = materialize(heads.select(F.col("k.id").alias("__id"), F.col("k.fp").alias("__head"), F.col("k.n").alias("__n")), "kept", keep=True)
     own = docs.withColumn("__fp", printed(F.coalesce(F.col(text), F.lit(""))))
     out = own.join(heads, (F.col(doc_id).cast("string") == F.col("__id")) & (F.col("__fp") == F.col("__head")))
     once, repeated = out.filter("__n = 1"), out.filter("__n > 1").dropDuplicates(["__id", "__head"])
