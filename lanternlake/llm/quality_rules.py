@@ -1,11 +1,12 @@
 """Host-level quality rules.
 
 Every document gets rule failures of its own; failures are summed by host, each host's failure rate is shrunk towards the
-mean of all hosts with a beta prior fitted to the hosts' rates (by moments), and the host's verdict, joined back to its
-documents, says how many failures a document of that host may have.  DataFrame functions only.
+mean of all hosts with a beta prior fitted to the hosts' rates (by moments), and the host's verdict is joined back to its
+documents: of a host whose shrunk rate reaches REJECTED no document is kept; of one under TRUSTED a document may fail one soft
+rule; of all others none.  DataFrame functions only.
 
 Defined results: a null text has no words and fails; a null host is a host like any other; equal rows get equal verdicts; an
-empty table gives an empty result.  A document that fails no rule is kept whatever its host is.
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from .common import SPACES, let, materialize, table, words
 #: Characters that count as symbols (fixed by the contract).
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+#: Shrunk failure rates under which a host is trusted, and from which all its documents go: most of its pages fail.
+TRUSTED, REJECTED = 0.02, 0.5
 
 
 def repeated_words(ws: Column) -> Column:
@@ -78,7 +81,8 @@ def with_failures(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def host_verdicts(stats: DataFrame, host: str = "source") -> DataFrame:
-    """One row a host: n_docs, n_failed, rate (shrunk) and allowed, the number of failures that its documents may have.
+    """One row a host: n_docs, n_failed, rate (shrunk) and allowed, the number of soft failures that its documents may have; -1
+    for hosts whose documents all go.
 
     The beta prior has the mean and the variance of the hosts' raw rates (method of moments; its weight is held within 1 and
     1000 documents).  Hosts are counted, never collected.
@@ -91,11 +95,11 @@ def host_verdicts(stats: DataFrame, host: str = "source") -> DataFrame:
     m = 0.0 if m is None else m
     weight = min(1000.0, max(1.0, m * (1 - m) / v - 1)) if v and 0 < m < 1 else 1000.0
     hosts = hosts.withColumn("rate", (F.col("n_failed") + F.lit(m * weight)) / (F.col("n_docs") + F.lit(weight)))
-    return hosts.withColumn("allowed", F.when(F.col("rate") < 0.02, 1).otherwise(0)).select("__host", "n_docs", "n_failed", "rate", "allowed")
+    return hosts.withColumn("allowed", F.when(F.col("rate") < TRUSTED, 1).when(F.col("rate") >= REJECTED, -1).otherwise(0)).select("__host", "n_docs", "n_failed", "rate", "allowed")
 
 
 def judge(stats: DataFrame, hosts: DataFrame, host: str = "source") -> DataFrame:
-    """stats with host_rate and kept: not base_failed, and no more soft failures than the host is allowed."""
+    """stats with host_rate and kept: not base_failed, and no more soft failures than the host is allowed (none pass where that is -1)."""
     small = hosts.select("__host", F.col("rate").alias("host_rate"), F.col("allowed").alias("__allowed"))
     out = stats.join(small, stats[host].eqNullSafe(F.col("__host")), "left").drop("__host")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_failed_rules") <= F.col("__allowed"))).drop("__allowed")
@@ -104,10 +108,10 @@ def judge(stats: DataFrame, hosts: DataFrame, host: str = "source") -> DataFrame
 def filter_documents(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The documents that the rules keep, with the columns of docs.  The texts are read twice and shuffled never, unless the hosts outgrow a broadcast."""
     names = docs.columns
-    inner = docs.select(F.struct(*names).alias("__row"), F.col(text).alias("__text"), F.col(host).alias("__src"))
-    stats = with_failures(inner, "__text").drop("__text")
-    hosts = host_verdicts(stats.drop("__row"), "__src")
-    return judge(stats, hosts, "__src").filter("kept").select("__row.*")
+    inner = docs.select(F.struct(*names).alias("__row"))
+    judged = with_failures(inner.select("__row", F.col("__row")[text].alias("__text"), F.col("__row")[host].alias("__src")), "__text").select("__row", "__src", "base_failed", "n_failed_rules")
+    hosts = host_verdicts(judged.drop("__row"), "__src")
+    return judge(judged, hosts, "__src").filter("kept").select("__row.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +140,6 @@ prior AS (SELECT m, least(1000.0, greatest(1.0, CASE WHEN v > 0 AND m > 0 AND m
           FROM (SELECT avg(n_failed / n_docs) AS m, var_pop(n_failed / n_docs) AS v FROM hosts)),
 rates AS (SELECT source, (n_failed + m * k) / (n_docs + k) AS host_rate FROM hosts, prior)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       (NOT base_failed AND n_failed_rules <= CASE WHEN host_rate < 0.02 THEN 1 ELSE 0 END) AS kept, n_failed_rules, round(host_rate, 9) AS host_rate
+       (NOT base_failed AND n_failed_rules <= CASE WHEN host_rate < 0.02 THEN 1 WHEN host_rate >= 0.5 THEN -1 ELSE 0 END) AS kept, n_failed_rules, round(host_rate, 9) AS host_rate
 FROM f JOIN rates ON f.source IS NOT DISTINCT FROM rates.source
 """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lanternlake import llm
-from lanternlake.llm import license_scan, line_dedup, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, source_mixing, topk_search
+from lanternlake.llm import common, license_scan, line_dedup, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, source_mixing, topk_search
 from lanternlake.llm.common import fold_of
 
 SF = "/root/testdata/sf0.001"
@@ -343,6 +343,46 @@ def test_pipeline(spark):
     assert packed.filter("piece = 0").count() == fourth.count()
 
 
+def test_host_verdicts_act(spark):
+    """A host that fails mostly loses its clean documents, too; a trusted one may fail one soft rule; nothing of others changes."""
+    rnd = random.Random(2)
+    clean = lambda: prose(rnd, 40)
+    symbols = lambda: prose(rnd, 40) + " ###### ******"
+    rows = [("bad", "x x")] * 90 + [("bad", clean())] * 10 + [("good", clean()) for _ in range(400)] + [("good", symbols())] + [("mid", clean()) for _ in range(90)] + [("mid", symbols()) for _ in range(10)]
+    docs = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
+    stats = quality_rules.with_failures(docs)
+    kept = Counter(r["source"] for r in quality_rules.judge(stats, quality_rules.host_verdicts(stats)).filter("kept").collect())
+    assert kept == {"good": 401, "mid": 90}
+    assert Counter(r["source"] for r in quality_rules.filter_documents(docs).collect()) == kept
+
+
+def test_scratch_deletes_its_own_paths_only(spark):
+    """Results of two queries that live at once stay readable."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first, second = near_dedup.near_duplicates(docs), source_mixing.mix(docs)
+    n = first.count()
+    third = line_dedup.dedup_lines(docs)
+    with common.scratch(spark):
+        inner = common.materialize(docs.select("doc_id"), "inner")
+        kept = common.materialize(docs.select("doc_id"), "kept", keep=True)
+    assert first.count() == second.count() == third.count() == kept.count() == n
+    with pytest.raises(Exception, match="(?i)exist"):
+        inner.count()
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stage_on_odd_input(spark, stage):
+    """Each stage takes nulls, empty and long texts, repeated rows, clashing columns, and an empty table."""
+    function = dict(corpus_pipeline.STAGES)[stage]
+    docs = odd_documents(spark).withColumns({"n_words": F.lit("x"), "size": F.lit("y"), "length": F.lit(1), "id": F.lit("z"), "rank": F.lit(9), "kept": F.lit(True), "key": F.lit("k"), "n_lines": F.lit(0)})
+    out = function(spark, docs, SF)
+    ids = {r["doc_id"] for r in docs.collect()}
+    assert {r["doc_id"] for r in out.collect()} <= ids
+    if stage != corpus_pipeline.STAGES[-1][0]:
+        assert out.columns == docs.columns
+    assert function(spark, spark.createDataFrame([], docs.schema), SF).count() == 0
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
