@@ -207,7 +207,23 @@ def test_encoder_matches_tokenizer():
     parts = ["a", "b", " ", "  ", "\n", "\t", "é", "1", "!", "'s", "<|endoftext|>", " ", "　", "the", " foo", "\0", "\x1c", "😀"]
     for _ in range(3000):
         t = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 9)))
-        assert np.frombuffer(e.encode([t])[0], "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_encoder_matches_tokenizer_on_documents():
+    """Whole documents of all languages, long and non-Latin texts, chunks that look like special tokens; also as chunks are forgotten."""
+    import duckdb
+
+    texts = [r[0] or "" for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    texts += ["漢字かな交じり文 と 空白　全角 " * 50, "слова на кириллице " * 300, "עברית ועוד <|endoftext|> x<|endoftext|> <|endoftext|>", "a" * 20000, "é " * 5000, "🙂🙃 🙂 👩‍👩‍👧 " * 40, " lead", "trail ", "\n\n x \n y"]
+    e, small = packing.Encoder(None), packing.Encoder(None)
+    want = [e.ids(t) for t in texts]
+    assert list(map(e.encode, texts)) == want
+    before, packing.CACHE = packing.CACHE, 500
+    try:
+        assert list(map(small.encode, texts)) == want
+    finally:
+        packing.CACHE = before
 
 
 def test_packing(spark):
