@@ -312,33 +312,52 @@ def test_mixing_meets_targets(spark):
     assert sum(target.values()) == pytest.approx(total)
 
 
-def test_wrapped_licenses(spark):
-    """Licence texts wrapped at 72 columns, bare and in comments."""
+def license_texts():
+    """(text, licences) of whole, wrapped, repeated and adjacent licence texts."""
     import textwrap
 
     of = {v: k for k, v in license_scan.SENTENCES.items()}
-    mit = ["MIT License", "Copyright (c) 2020 A. Person", of["mit_grant"] + ":", of["mit_notice"] + "."]
+    owner = "Copyright (c) 2020 A. Person"
+    mit = ["MIT License", owner, of["mit_grant"] + ":", of["mit_notice"] + "."]
     bsd = [of["bsd_head"] + ":", "1. " + of["bsd_1"] + ".", "2. " + of["bsd_2"] + ".", "3. " + of["bsd_3"] + "."]
-    gpl = ["Copyright (c) 2020 A. Person", of["gpl_free"] + ": " + of["gpl3_terms"] + "."]
-    isc = ["Copyright (c) 2020 A. Person", of["isc_grant"] + "."]
-    want = [(mit, "MIT"), (bsd, "BSD-3-Clause"), (bsd[:3], "BSD-2-Clause"), (gpl, "GPL-3.0-or-later"), (isc, "ISC")]
-    rows = []
-    for n, (paragraphs, name) in enumerate(want):
+    gpl = [owner, "This program is free software: " + of["gpl3_terms"] + "."]
+    isc = [owner, of["isc_grant"] + "."]
+    apache = [owner, of["apache_head"] + ";", of["apache_comply"] + ".", of["apache_copy"], "    http://www.apache.org/licenses/LICENSE-2.0"]
+    want = [(mit, ["MIT"]), (bsd, ["BSD-3-Clause"]), (bsd[:3], ["BSD-2-Clause"]), (gpl, ["GPL-3.0-or-later"]), (isc, ["ISC"]), (apache, ["Apache-2.0"])]
+    want += [(bsd + bsd, ["BSD-3-Clause"]), (gpl + gpl, ["GPL-3.0-or-later"]), (bsd[:3] + bsd, ["BSD-3-Clause", "BSD-2-Clause"]), (mit + gpl + mit, ["MIT", "GPL-3.0-or-later"])]
+    out = []
+    for paragraphs, names in want:
         for lead in ("", "# ", " * ", "// ", ";; "):
-            lines = "\n\n".join(textwrap.fill(x, 72) for x in paragraphs).split("\n")
-            rows += [(n, name, end.join((lead + x).rstrip() for x in lines)) for end in ("\n", "\r\n")]
-    got = license_scan.scan(spark.createDataFrame(rows, "n int, name string, text string")).collect()
-    assert [(r["name"], r["text"]) for r in got if r["licenses"] != [r["name"]]] == []
-    assert {tuple(r["license_ids"]) for r in got if r["n"] == 0} == {("mit_title", "mit_grant", "mit_notice")}
+            for gap in ("\n\n", "\n"):
+                lines = gap.join(textwrap.fill(x, 72) for x in paragraphs).split("\n")
+                out += [(end.join((lead + x).rstrip() for x in lines), names) for end in ("\n", "\r\n")]
+    out += [("Some words. " + k + ". More words.", None) for k in license_scan.sentences()]
+    out += [("// SPDX-License-Identifier: Apache-2.0\nint x;", ["Apache-2.0"]), ("subject to the terms of the x.\nThis Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ["MPL-2.0"]), ("SPDX-License-Identifier:\nMIT", []), ("MIT License\nMIT License", ["MIT"]), ("We talk of the MIT License here.", []), ("", []), (None, [])]
+    out += [("Released under the MIT License. All rights reserved.\nMIT\nLicense", ["MIT", "proprietary"]), ("All rights\nreserved", ["proprietary"])]
+    return out
 
 
 def test_licenses(spark):
-    texts = ["Released under the MIT License.", "x\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "We talk of the MIT License here.", None]
-    got = [r["licenses"] for r in license_scan.scan(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
-    assert got == [["MIT"], ["MIT"], ["GPL-3.0-or-later"], [], []]
+    texts = license_texts()
+    got = license_scan.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i int, text string")).collect()
+    assert [(r["text"], r["licenses"], texts[r["i"]][1]) for r in got if texts[r["i"]][1] is not None and r["licenses"] != texts[r["i"]][1]] == []
+    known = license_scan.sentences()
+    assert [r["text"] for r in got if texts[r["i"]][1] is None and len(r["license_ids"]) != 1] == []
     import re
 
-    assert all(re.search(license_scan.HINT, s) for s in license_scan.SENTENCES)
+    assert all(re.search(license_scan.HINT, s) for s in known) and set(known.values()) >= {x for _, qs in license_scan.RULES for q in qs for x in q.split()}
+
+
+def test_licenses_match_sql(spark, tmp_path):
+    """The registered query and its SQL, on licence texts."""
+    import duckdb
+
+    rows = [(i, t) for i, (t, _) in enumerate(license_texts())]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, license_scan.op9_license_scan(spark, f"file://{tmp_path}").collect()))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(db.execute(license_scan.oracle()).fetchall()) == got
 
 
 def test_pipeline(spark):
