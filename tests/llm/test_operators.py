@@ -180,17 +180,31 @@ def test_icws_estimates_weighted_jaccard():
     assert abs((x == y).mean() - true) < 0.2
 
 
-def test_topk_matches_brute_force(spark):
+def test_topk_matches_brute_force(spark, monkeypatch):
+    """Ties, odd rows, components beyond 64-bit products, several rounds and blocks."""
+    monkeypatch.setattr(topk_search, "ROUND", 15)
+    monkeypatch.setattr(topk_search, "BLOCK", 64)
     rng = np.random.default_rng(1)
     x = np.floor(rng.normal(0, 9, (700, 16))).astype(int)
     x[50:90] = x[50]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1] * 15 + [None]), (None, [1] * 16), (920, [2, 3])]
-    got = topk_search.search(spark.createDataFrame(rows, "vec_id long, vector array<int>"), lambda i: i % 20 == 0, k=7).collect()
+    vectors = {i: [float(c) for c in v] for i, v in enumerate(x)}
+    vectors |= {700: [1e30] + [1.0] * 15, 701: [-1e30] + [3.0] * 15, 702: [3e9] * 16, 720: [2e9] * 16, 703: [float(2**52 + 1)] + [1.0] * 15}
+    rows = [*vectors.items(), (900, None), (901, [1.0] * 15 + [None]), (902, [1.0] * 15 + [float("nan")]), (903, [1.0] * 15 + [float("inf")]), (None, [1.0] * 16), (920, [2.0, 3.0]), (940, [])]
+    got = topk_search.search(spark.createDataFrame(rows, "vec_id long, vector array<double>").withColumns({"x": F.lit(1), "id": F.lit("z"), "rank": F.lit(2), "score": F.lit(3)}), lambda i: i % 20 == 0, k=7).collect()
     want = []
-    for q in range(0, 700, 20):
-        order = sorted((i for i in range(700) if i != q), key=lambda i: (-int(x[q] @ x[i]), i))[:7]
-        want += [(q, r + 1, i, int(x[q] @ x[i])) for r, i in enumerate(order)]
+    for q in (i for i in vectors if i % 20 == 0):
+        score = {i: topk_search.integer_product(np.asarray(vectors[q]), np.asarray(vectors[i])) for i in vectors if i != q}
+        order = sorted(score, key=lambda i: (-score[i], i))[:7]
+        want += [(q, r + 1, i, score[i]) for r, i in enumerate(order)]
     assert sorted(map(tuple, got)) == sorted(want)
+    assert topk_search.search(spark.createDataFrame([], "vec_id long, vector array<int>"), lambda i: i % 20 == 0).count() == 0
+
+
+def test_topk_query_on_odd_components(spark, tmp_path):
+    rows = [(0, [1e30, 0.5]), (20, [0.015, -0.015]), (21, [float("nan"), 1.0]), (22, [2.0, 2.0]), (23, None), (None, [1.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, topk_search.op4_topk_search(spark, f"file://{tmp_path}").collect()))
+    assert got == [(0, 1, 22, 2**63 - 1), (0, 2, 20, -32), (20, 1, 0, -32), (20, 2, 22, -128)]
 
 
 def test_bounds_hold():
