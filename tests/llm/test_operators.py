@@ -313,6 +313,48 @@ def test_classifier(spark):
     assert quality_classifier.score(spark.createDataFrame([(1, None), (None, "")], "doc_id long, text string"), none).agg(F.min("score")).first()[0] == 0.5
 
 
+def test_classifier_score_is_softmax_of_mean_vector(spark, monkeypatch):
+    """Each score again, from the vectors: mean by document, output, softmax; text ids, odd rows and clashing columns included."""
+    kept = {}
+
+    def train(samples):  # the same descent, with its vectors kept
+        rng = np.random.default_rng(quality_classifier.SEED)
+        d = quality_classifier.DIMENSIONS
+        vectors, out, bias, steps = rng.uniform(-1 / d, 1 / d, (quality_classifier.BUCKETS, d)), np.zeros((d, 2)), np.zeros(2), 0
+        for _ in range(quality_classifier.EPOCHS):
+            for i in rng.permutation(len(samples)):
+                rows, shares, y = samples[i]
+                rate = quality_classifier.RATE * (1 - steps / (quality_classifier.EPOCHS * len(samples)))
+                steps += 1
+                hidden = sum(s * vectors[r] for r, s in zip(rows, shares))
+                p = np.exp(hidden @ out + bias)
+                p = p / p.sum() - np.eye(2)[y]
+                back = out @ p
+                out, bias = out - rate * np.outer(hidden, p), bias - 0.1 * rate * p
+                for r, s in zip(rows, shares):
+                    vectors[r] -= rate * np.sqrt(len(rows)) * s * back
+        kept.update(vectors=vectors, out=out, bias=bias)
+        return real(samples)
+
+    real = quality_classifier.train
+    monkeypatch.setattr(quality_classifier, "train", train)
+    rnd = random.Random(12)
+    good, bad = WORDS[:70], WORDS[50:]
+    rows = [(f"d{i}", " ".join(rnd.choice(good if i % 2 else bad) for _ in range(20)), i % 2) for i in range(80)]
+    rows += [("n", None, None), ("e", "", None), (None, "some text", None), ("s", " \n ", None), ("r", "bal bal bal", None), ("r", "bal bal bal", None), ("l", "bal dem " * 40_000, None)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id string, text string").withColumns({"t": F.lit(1), "y": F.lit(0), "id": F.lit("q"), "score": F.lit("x"), "__id": F.lit(5)})
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if y is not None] + [("d0", 1), ("d2", 7)], "doc_id string, quality int")
+    model = quality_classifier.fit(docs, labels, F.lit(True))
+    got = sorted(((r["doc_id"] or "", r["score"]) for r in quality_classifier.score(docs, model).collect()))
+    want = []
+    for i, t, _ in rows:
+        found, shares = quality_classifier.document_features(t or "", {})
+        z = (shares @ kept["vectors"][found] if len(found) else np.zeros(quality_classifier.DIMENSIONS)) @ kept["out"] + kept["bias"]
+        want.append((i or "", np.exp(z[1]) / np.exp(z).sum()))
+    assert [i for i, _ in got] == [i for i, _ in sorted(want)] and np.allclose([p for _, p in got], [p for _, p in sorted(want)], atol=1e-5)
+    assert quality_classifier.score(spark.createDataFrame([], docs.schema), model).count() == 0
+
+
 def test_mixing_meets_targets(spark):
     rows = source_mixing.op6_source_mixing(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source"), "doc_id").collect()
     taken, target, most = Counter(), {}, Counter()
