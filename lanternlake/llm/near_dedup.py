@@ -24,7 +24,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,8 +50,8 @@ CHUNK, CHUNK_SHINGLES = 4000, 1_500_000
 MOST_COMMON = 1_000_000
 #: Random triples of a hash; elements that share one are told apart by their own hash.
 TRIPLES = 4096
-#: Bytes of text and shingles handled at once.
-BLOCK_BYTES, BLOCK = 1 << 20, 200_000
+#: Bytes of text handled at once.
+BLOCK_BYTES = 1 << 18
 
 
 class Shingler:
@@ -435,19 +434,19 @@ def open_links(several: DataFrame, classes: DataFrame, sets: DataFrame, common)
     wanted = met.select("key", "fp", "at", "pieces", F.col("ca").alias("comp"), F.col("ba").alias("bands"), F.col("da").alias("draws")).dropDuplicates(["key", "fp"])
     cells = wanted.withColumn("other", each).withColumns({"i": F.least("at", "other"), "j": F.greatest("at", "other")}).drop("other", "pieces")
 
-    def judge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        weights, band = Weights(sent.value), key[0]["band"]
-        part = part.sort_values("fp", ignore_index=True)
-        raw = [unpack(p, q) for p, q in zip(part["s"], part["c"], strict=True)]
+    def judge(key: tuple, part: pa.Table) -> pa.Table:
+        weights, band = Weights(sent.value), key[0].as_py()["band"]
+        part = part.sort_by("fp").combine_chunks()
+        raw = [unpack(p.as_py(), q.as_py()) for p, q in zip(part["s"], part["c"], strict=True)]
         size = [len(k) for k, _ in raw]
         flat = np.concatenate([k for k, _ in raw])
         w = weights.of(flat, np.concatenate([n for _, n in raw]))
         kinds, ids = np.unique(flat, return_inverse=True)
         dense, starts = np.zeros(len(kinds)), np.cumsum([0, *size])
         totals = np.add.reduceat(w, starts[:-1])
-        draws, bands = np.stack(part["draws"].to_list()), np.stack(part["bands"].to_list())
-        comp = part["comp"].factorize()[0]
-        at, found = part["at"].to_numpy(), []
+        draws, bands = (part[k].combine_chunks().flatten().to_numpy().reshape(len(part), -1) for k in ("draws", "bands"))
+        comp = np.unique(part["comp"].to_pylist(), return_inverse=True)[1]
+        fp, at, found = part["fp"].to_pylist(), part["at"].to_numpy(), []
         for r in range(len(part) - 1):
             ok = comp[r + 1 :] != comp[r]
             if key[1] != key[2]:
@@ -462,11 +461,11 @@ def open_links(several: DataFrame, classes: DataFrame, sets: DataFrame, common)
             near = weighted_jaccards((ids[own], w[own]), ids[at_all], w[at_all], np.cumsum([0, *(size[k] for k in to[:-1])]), totals[to], dense)
             for k in to[near >= SIMILARITY]:
                 if comp[k] != comp[r]:
-                    found.append((part["fp"][r], part["fp"][k]))
+                    found.append((fp[r], fp[k]))
                     comp[comp == comp[k]] = comp[r]
-        return pd.DataFrame(found, columns=["a", "b"])
+        return pa.table({k: pa.array([x[n] for x in found], pa.string()) for n, k in enumerate("ab")})
 
-    return cells.join(sets, "fp").groupBy("key", "i", "j").applyInPandas(judge, "a string, b string")
+    return cells.join(sets, "fp").groupBy("key", "i", "j").applyInArrow(judge, "a string, b string")
 
 
 def link(members: DataFrame, classes: DataFrame, sets: DataFrame, common) -> DataFrame:

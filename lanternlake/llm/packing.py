@@ -17,12 +17,12 @@ are encoded whole; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +39,7 @@ TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 SPECIAL = "<|endoftext|>"
 #: Encoded chunks that a worker remembers, and bytes of ids in a batch that it hands on.
-CACHE = 300_000
+CACHE = 200_000
 BATCH_BYTES = 4_000_000
 BUCKETS = 1024
 
@@ -62,8 +62,6 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         if path is None:
             import base64
 
@@ -77,9 +75,15 @@ class Encoder:
             path = public_tokenizers.path(TOKENIZER)
         else:
             self.chunk = lambda c: self.tokenizer.encode(c, add_special_tokens=False).ids
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         self.known: dict[str, bytes] = {"": b""}
 
+    @functools.cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -319,8 +323,8 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity:
     runs = docs.sparkSession.sparkContext.broadcast(places(plan(histogram, capacity)))
     schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def placed(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("sequence_id long, offset long")
+    def placed(length: pa.Array, rank: pa.Array) -> pa.Array:
         n, r = length.to_numpy(), rank.to_numpy()
         out = np.zeros((2, len(n)), np.int64)
         for size in np.unique(n):
@@ -328,7 +332,7 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity:
             first, sequence, offset = runs.value[int(size)]
             k = np.searchsorted(first, r[at], side="right") - 1
             out[0, at], out[1, at] = sequence[k] + r[at] - first[k], offset[k]
-        return pd.DataFrame({"sequence_id": out[0], "offset": out[1]})
+        return pa.StructArray.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["sequence_id", "offset"])
 
     part = ranked(cut.filter(F.col("length") < capacity)).withColumn("__at", placed("length", "rank"))
     part = part.select(*names, F.col("__at.sequence_id").alias("sequence_id"), F.col("__at.offset").alias("offset"))
