@@ -33,8 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Paths that materialize() wrote, by the scratch() blocks that are open in this context, innermost last.
-_open: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scratch", default=())
+#: The scratch() blocks that are open in this context, innermost last: paths that materialize() wrote, and most files of a table.
+_open: contextvars.ContextVar[tuple[tuple[list[str], int | None], ...]] = contextvars.ContextVar("scratch", default=())
 
 
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -44,19 +44,27 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lanternlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    blocks = _open.get()[: -1 if keep else None]
-    if blocks:
-        blocks[-1].append(path)
+    blocks = _open.get()
+    most = blocks[-1][1] if blocks else None
+    (df.coalesce(most) if most else df).write.parquet(path)
+    if blocks := blocks[: -1 if keep else None]:
+        blocks[-1][0].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_count(docs: DataFrame) -> int:
+    """Files of a table that is derived from docs: one for 32 MB of what docs reads, and at least four a core of the cluster, so
+    that a small input isn't scattered over many tiny files however many shuffle partitions there are."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(1 << 30, max(4 * docs.sparkSession.sparkContext.defaultParallelism, size >> 25))
+
+
 @contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
+def scratch(spark: SparkSession, files: int | None = None) -> Iterator[None]:
     """What materialize() writes within the block is deleted at its end, and nothing else: for work whose result is written
-    (keep=True) before the block ends."""
+    (keep=True) before the block ends.  files: the most files that a table within is written as."""
     paths: list[str] = []
-    token = _open.set((*_open.get(), paths))
+    token = _open.set((*_open.get(), (paths, files)))
     try:
         yield
     finally:

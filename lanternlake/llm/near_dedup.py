@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import clean_shuffles, materialize, scratch, table
+from .common import clean_shuffles, file_count, materialize, scratch, table
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -521,7 +521,7 @@ def classed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     id_type = docs.schema[doc_id].dataType
     rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     number = F.col("id").cast(id_type)
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession, file_count(docs)):
         _, common = common_shingles(rows.select("t"))
         signed = materialize(signatures(rows, common), "signatures")
         classes = materialize(signed.groupBy("fp").agg(F.min(number).alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("draws").alias("draws"), F.first("weight").alias("weight")), "classes")
@@ -554,7 +554,7 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """docs with one document of each class: that of the least id, or any where no document of the class has one.  Documents
     are told apart by id and words, so that classes whose least ids are equal keep a document each."""
     number = F.col("id").cast(docs.schema[doc_id].dataType)
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession, file_count(docs)):
         alike = classed(docs, text, doc_id).groupBy("comp", "fp", "id").agg(F.count(F.lit(1)).alias("n"))
         heads = alike.groupBy("comp").agg(F.min_by(F.struct("id", "fp", "n"), F.struct(F.col("id").isNull(), number, "fp")).alias("k"))
         heads = materialize(heads.select(F.col("k.id").alias("__id"), F.col("k.fp").alias("__head"), F.col("k.n").alias("__n")), "kept", keep=True)

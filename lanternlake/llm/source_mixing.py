@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, table, words
+from .common import file_count, materialize, scratch, table, words
 
 SEED = 17
 MAX_REPEATS = 3
@@ -96,7 +96,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     """One row a document: its id as doc_id, source, size, source_size, target and taken (words that the mix takes)."""
     key = shuffle_key(F.col(doc_id), F.col(source), F.col(text))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), key.alias("key"))
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession, file_count(docs)):
         rows = materialize(rows, "sizes")
         goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
         goal = goal.withColumnRenamed("source", "__src")
