@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from . import fixed
+from . import fixed, guards
 
 FLAGS = "(?iuUd)"
 
@@ -30,8 +30,9 @@ def any_of(patterns: list[str]) -> str:
 
 def plain_words(text: Column) -> Column:
     """text with letters and digits outside ASCII as '_' and spaces as ' ': on it, ASCII patterns find what Unicode ones find in
-    text, at a fraction of the cost, unless a pattern itself has letters outside ASCII."""
-    t = F.regexp_replace(null_safe(text), r"[\p{L}\p{N}\p{M}&&[^\x00-\x7F]]", "_")
+    text, at a fraction of the cost, unless a pattern itself has letters outside ASCII.  The four letters that are i, s and k to
+    patterns which ignore case become those."""
+    t = F.regexp_replace(F.translate(null_safe(text), "İıſ\u212a", "iisk"), r"[\p{L}\p{N}\p{M}&&[^\x00-\x7F]]", "_")
     return F.regexp_replace(t, r"[\p{Z}\u0085&&[^\x00-\x7F]]", " ")
 
 
@@ -40,6 +41,11 @@ def plain_rx(pattern: str) -> str:
     return "(?id)" + pattern
 
 
+def meets(plain: Column, squeezed: Column, patterns: list[str]) -> Column:
+    """Whether one of patterns is found in plain_words(), of which squeezed is guards.squeezed(): most texts are told from that."""
+    return guards.may_meet(squeezed, "|".join(f"(?:{p})" for p in patterns)) & plain.rlike(any_of(patterns))
+
+
 def flag(text: Column, pattern: str) -> Column:
     return text.rlike(rx(pattern)).cast("int")
 
@@ -222,14 +228,16 @@ def match_bounds(text: Column, pattern: str) -> Column:
     return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
 
 
-def organisation_link(text: Column) -> Column:
-    """1 if a named organisation has a programme or outcome term within 120 characters."""
+def organisation_link(text: Column, squeezed: Column) -> Column:
+    """1 if a named organisation has a programme or outcome term within 120 characters.  The organisation's capitals match any
+    letter, as all patterns ignore case.  squeezed: guards.squeezed() of the text's plain_words()."""
     t = squeeze(null_safe(text))
     near = lambda x: F.substring(t, F.greatest(F.lit(0), x["s"] - fixed.ORGANISATION_WINDOW) + 1, x["e"] + fixed.ORGANISATION_WINDOW - F.greatest(F.lit(0), x["s"] - fixed.ORGANISATION_WINDOW))
     named = rx(fixed.NAMED_ORGANISATION)
     linked = F.exists(match_bounds(t, named), lambda x: near(x).rlike(rx(fixed.PROGRAM_OR_OUTCOME)))
-    hint = r"(?iu)universit|institute|hochschule|school|daad|tum|tuhh|bsbi|uni[-\s]?assist"  # each name has one of these
-    return F.when(t.rlike(hint) & t.rlike(named), linked.cast("int")).otherwise(F.lit(0))
+    hints = ("universit", "institute", "hochschule", "school", "daad", "tum", "tuhh", "bsbi", "assist")  # each name has one of these
+    hint = guards.may_meet(squeezed, fixed.PROGRAM_OR_OUTCOME) & guards.may_meet(squeezed, "|".join(hints))
+    return F.when(hint & t.rlike(named), linked.cast("int")).otherwise(F.lit(0))
 
 
 def handle_of(url: Column) -> Column:

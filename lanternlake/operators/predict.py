@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed
+from ..functions import fixed, guards
 from ..functions import text as X
 from .rules import pattern_of
 
@@ -37,7 +37,7 @@ def lexical(rows: DataFrame, text: str) -> DataFrame:
     plain = X.plain_words(F.col(text))
     rules = dict(zip(fixed.RE_LABELS, ("RULE_OUTCOME_GUARANTEED", "RULE_REQUIREMENT_WAIVED", "RULE_TESTIMONIAL_SUCCESS"), strict=False))
     scores = {f"p_{x}": plain.rlike(X.plain_rx(pattern_of(r))).cast("double") for x, r in rules.items()}
-    scores[f"p_{fixed.RE_LABELS[3]}"] = X.organisation_link(F.col(text)).cast("double")
+    scores[f"p_{fixed.RE_LABELS[3]}"] = X.organisation_link(F.col(text), guards.squeezed(plain)).cast("double")
     return X.once(rows, {"spans": lexical_spans(X.null_safe(F.col(text))), **scores})
 
 

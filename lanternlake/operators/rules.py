@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed
+from ..functions import fixed, guards
 from ..functions import text as X
 
 #: Rules that aren't one pattern of their own name.
@@ -17,10 +17,6 @@ SPECIAL = {
     "RULE_TESTIMONIAL_SUCCESS": fixed.TESTIMONIAL_SUCCESS,
 }
 
-#: What a text that meets a costly pattern holds at least; other texts are spared the pattern.
-HINTS = {"RULE_TESTIMONIAL_SUCCESS": r"admission|admit|visa|scholarship|letter"}
-
-
 def pattern_of(rule: str) -> str:
     """The rule's pattern; RULE_ORG_LINK has none."""
     own = SPECIAL.get(rule)
@@ -29,14 +25,21 @@ def pattern_of(rule: str) -> str:
     return own or fixed.PATTERNS[rule.removeprefix("LEX_").removeprefix("RULE_")]
 
 
-def rule_flags(rows: DataFrame, text: str) -> DataFrame:
-    """rows with one 0/1 column a rule.  Patterns that two rules share run once."""
+#: Rules that are another rule's flag, or the greatest of several.
+DERIVED = {"RULE_DIRECT_OUTCOME_GUARANTEE": ["RULE_OUTCOME_GUARANTEED"], "LEX_PRESSURE_CUE": ["RULE_PRESSURE_STRONG", "RULE_PRESSURE_MEDIUM", "RULE_PRESSURE_WEAK"]}
+
+
+def rule_flags(rows: DataFrame, text: str, only: list[str] | None = None) -> DataFrame:
+    """rows with one 0/1 column a rule, or for each rule of only.  Patterns that two rules share run once, and each runs only on
+    texts that hold a word of it."""
+    wanted = [r for r, *_ in fixed.RULES if only is None or r in only]
+    tested = list(dict.fromkeys(x for r in wanted for x in DERIVED.get(r, [r])))
     rows = X.once(rows, {"__plain": X.plain_words(F.col(text))})
-    met = lambda p: F.col("__plain").rlike(X.plain_rx(p))
-    flags: dict[str, Column] = {r: (met(HINTS[r]) & met(pattern_of(r)) if r in HINTS else met(pattern_of(r))).cast("int") for r, *_ in fixed.RULES if r not in ("RULE_ORG_LINK", "RULE_DIRECT_OUTCOME_GUARANTEE", "LEX_PRESSURE_CUE")}
-    flags["RULE_ORG_LINK"] = X.organisation_link(F.col(text))
-    out = X.once(rows, flags).drop("__plain")
-    return out.withColumns({"RULE_DIRECT_OUTCOME_GUARANTEE": F.col("RULE_OUTCOME_GUARANTEED"), "LEX_PRESSURE_CUE": F.greatest("RULE_PRESSURE_STRONG", "RULE_PRESSURE_MEDIUM", "RULE_PRESSURE_WEAK")})
+    rows = X.once(rows, {"__squeezed": guards.squeezed(F.col("__plain"))})
+    flags = {r: X.organisation_link(F.col(text), F.col("__squeezed")) if r == "RULE_ORG_LINK" else X.meets(F.col("__plain"), F.col("__squeezed"), [pattern_of(r)]).cast("int") for r in tested}
+    out = X.once(rows, flags).drop("__plain", "__squeezed")
+    derived = {r: F.greatest(*DERIVED[r]) if len(DERIVED[r]) > 1 else F.col(DERIVED[r][0]) for r in wanted if r in DERIVED}
+    return out.withColumns(derived).drop(*(x for x in tested if x not in wanted)) if derived else out
 
 
 def rule_precision(gold: DataFrame, ner: str = "ner_labels", relations: str = "relation_labels", key: str = "post_id", order: str = "ord") -> DataFrame:

@@ -30,7 +30,7 @@ def alt(patterns: list[str]) -> str:
 
 #: Non-ASCII letters as word characters for the SQL side, whose \b knows ASCII only.
 def ascii_words(x: str) -> str:
-    return f"regexp_replace({x}, '[^\\x00-\\x7F]', '_', 'g')"
+    return f"regexp_replace(translate({x}, 'İıſ\u212a', 'iisk'), '[^\\x00-\\x7F]', '_', 'g')"
 
 
 STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
@@ -204,8 +204,8 @@ _LEGIT_TEXT = STRIP.format(_degrees("regexp_replace(regexp_replace(regexp_replac
     + "SELECT reason, count(*) AS n FROM g1 GROUP BY reason",
 )
 def legit_filter_reasons(spark, sf):
-    reason = F.coalesce(C.skip_reason(F.col("caption_text"), F.col("ord") % 11 == 0), F.lit("saved"))
-    return posts(spark, sf).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    rows = C.with_skip_reason(posts(spark, sf), "caption_text", F.col("ord") % 11 == 0)
+    return rows.groupBy(F.coalesce("reason", F.lit("saved")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _HANDLES = "h AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'explore' WHEN 1 THEN '.bad' || c_custkey WHEN 2 THEN 'Name_' || c_custkey WHEN 3 THEN 'fu_berlin' WHEN 4 THEN 'two..dots' ELSE 'ok.' || c_custkey || '/' END AS handle FROM customer)"

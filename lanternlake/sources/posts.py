@@ -34,6 +34,7 @@ PHRASES = [
     "Work in Germany as skilled workers; start your career, job opportunities, move to Germany.",
     "47 likes and 1 comments on a normal day, view all 12 comments, see translation.",
     "Assured scholarship and sure-shot visa success, instant admission to Germany.",
+    "No ıelts requıred for a master ın Germany, public unıversity admıssion guaranteed.",
     "Student success stories: she received offer letter and got admission at Berlin University.",
 ]
 LABELS = ["none", "legitimate", "official", "Suspicious", "", "fake", "weird", "non-suspicious"]
