@@ -1,12 +1,11 @@
-"""What texts must hold for a pattern to be found in them: plain words that are looked for before the pattern is tried.
+"""What texts must hold for patterns to be found in them: words that are looked for before a pattern is tried.
 
-A pattern's parse tree gives, for each of its branches, the longest run of literal characters; a text without any of these has
-no match.  Looking for them costs a fraction of a regular expression, and most texts have none.
+A pattern's parse tree says which words every match has: all parts of a sequence give one, of an alternation's branches one
+does.  The words of a text are looked up once for all patterns, and a pattern is tried only where what it needs is there.
 """
 
 from __future__ import annotations
 
-import functools
 import re
 from re import _constants as K
 from re import _parser
@@ -14,13 +13,10 @@ from re import _parser
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Longest list of runs that is looked for; patterns with more are tried at once.
-MOST = 160
-
-
-def squeezed(plain: Column) -> Column:
-    """text.plain_words() in lower case, with one space for each run of other characters, and at both ends."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.lower(plain), "[^a-z0-9_]+", " "), F.lit(" "))
+#: Most texts that a part of a pattern is spelled out to, and the shortest part of a word that is looked for.
+MOST, SHORTEST = 300, 5
+#: A need is ("any", marks), ("all", needs) or ("one", needs).  A mark is a whole word, or "~" and a part of the text.
+Need = tuple[str, "frozenset[str] | list[Need]"]
 
 
 def _apart(node) -> bool:
@@ -33,55 +29,114 @@ def _apart(node) -> bool:
     return kind is K.IN and all(x == (K.CATEGORY, K.CATEGORY_SPACE) for x in value)
 
 
-def _worth(runs: frozenset[str]) -> tuple[float, int]:
-    return min(len(x.strip()) + 1.5 * (x[0] == " ") + 1.5 * (x[-1] == " ") for x in runs), -len(runs)
+def _mark(run: str, start: bool, end: bool) -> Need | None:
+    """A run's longest whole word, or its longest part."""
+    words = re.findall("[a-z0-9_]+", run)
+    if not words:
+        return None
+    start, end = start or not re.match("[a-z0-9_]", run), end or not re.search("[a-z0-9_]$", run)
+    whole = [w for i, w in enumerate(words) if (i or start) and (i < len(words) - 1 or end)]
+    part = max(words, key=len)
+    return ("any", frozenset([max(whole, key=len) if whole else "~" + part])) if whole or len(part) >= SHORTEST else None
 
 
-def _runs(nodes, left: bool, right: bool) -> frozenset[str] | None:
-    """The best set of runs of which every match of nodes holds one; a space marks a word's edge.  None: there is none."""
+def _spelled(nodes) -> list[str] | None:
+    """All texts that nodes match, with a space for white space and for marks that may part words; None if they are too many."""
+    out = [""]
+    for kind, value in nodes:
+        if kind is K.LITERAL:
+            more = [chr(value).lower()]
+        elif kind is K.AT and value is K.AT_BOUNDARY:
+            more = [""]
+        elif _apart((kind, value)):
+            more = [" "]
+        elif kind is K.IN and all(x[0] is K.LITERAL or x == (K.CATEGORY, K.CATEGORY_SPACE) for x in value):
+            more = sorted({chr(x[1]).lower() if x[0] is K.LITERAL else " " for x in value})
+        elif kind is K.BRANCH:
+            parts = [_spelled(b) for b in value[1]]
+            more = [x for p in parts for x in p] if all(p is not None for p in parts) else None
+        elif kind is K.SUBPATTERN:
+            more = _spelled(value[3])
+        elif kind is K.MAX_REPEAT and value[1] == 1:
+            more = _spelled(value[2])
+            more = more if more is None or value[0] else ["", *more]
+        else:
+            more = None
+        if more is None or len(out) * len(more) > MOST:
+            return None
+        out = [x + y for x in out for y in more]
+    return out
+
+
+def _needs(nodes, left: bool, right: bool) -> Need | None:
+    """What every match of nodes needs; None: nothing is known."""
     nodes, found, i = list(nodes), [], 0
     while i < len(nodes):
-        start = left if i == 0 else _apart(nodes[i - 1])
+        start = (left if i == 0 else _apart(nodes[i - 1])) or _apart(nodes[i])
+        j, texts = i, None
+        while j < len(nodes) and (more := _spelled(nodes[i : j + 1])) is not None:
+            j, texts = j + 1, more
+        j = max(j, i + 1)
+        end = (right if j == len(nodes) else _apart(nodes[j])) or _apart(nodes[j - 1])
         kind, value = nodes[i]
-        j = i + 1
-        if kind is K.LITERAL:
-            while j < len(nodes) and nodes[j][0] is K.LITERAL:
-                j += 1
-        end = right if j == len(nodes) else _apart(nodes[j])
-        inner = None
-        if kind is K.LITERAL:
-            run = re.sub("[^a-z0-9_]+", " ", "".join(chr(v) for _, v in nodes[i:j]).lower())
-            if run.strip():
-                inner = frozenset([(" " if start or run[0] == " " else "") + run.strip() + (" " if end or run[-1] == " " else "")])
+        need = None
+        if texts is not None:
+            marks = [_mark(x, start, end) for x in texts]
+            need = ("any", frozenset().union(*(m[1] for m in marks))) if all(marks) else None
         elif kind is K.BRANCH:
-            parts = [_runs(b, start, end) for b in value[1]]
-            inner = frozenset().union(*parts) if all(parts) else None
+            parts = [_needs(b, start, end) for b in value[1]]
+            if all(parts):
+                marks = frozenset().union(*(p[1] for p in parts if p[0] == "any"))
+                rest = [p for p in parts if p[0] != "any"]
+                need = ("one", [*([("any", marks)] if marks else []), *rest]) if rest else ("any", marks)
         elif kind is K.SUBPATTERN:
-            inner = _runs(value[3], start, end)
+            need = _needs(value[3], start, end)
         elif kind is K.MAX_REPEAT and value[0] >= 1:
-            inner = _runs(value[2], start and value[1] == 1, end and value[1] == 1)
-        if inner:
-            found.append(inner)
+            need = _needs(value[2], start and value[1] == 1, end and value[1] == 1)
+        if need:
+            found.append(need)
         i = j
-    return max(found, key=_worth) if found else None
+    return None if not found else found[0] if len(found) == 1 else ("all", found)
 
 
-@functools.cache
-def runs_of(pattern: str) -> tuple[str, ...] | None:
-    """Runs of which every text, as squeezed(), that pattern is found in has one; None if there is no such list."""
-    runs = _runs(_parser.parse(pattern, re.I), False, False)
-    if not runs:
-        return None
-    least = sorted(x for x in runs if not any(y != x and y in x for y in runs))
-    return tuple(least) if len(least) <= MOST else None
-
-
-def may_meet(squeezed_text: Column, pattern: str) -> Column:
-    """False only where the pattern, with letters of either case, is not found."""
-    runs = runs_of(pattern)
-    if runs is None:
-        return F.lit(True)
-    tests = [F.contains(squeezed_text, F.lit(x)) for x in runs]
-    while len(tests) > 1:  # a balanced tree: plans of many tests stay shallow
-        tests = [tests[k] | tests[k + 1] if k + 1 < len(tests) else tests[k] for k in range(0, len(tests), 2)]
+def needs_of(pattern: str) -> Need | None:
+    """What a text needs for pattern, which ignores case, to be found in it."""
+    return _needs(_parser.parse(pattern, re.I), False, False)
+
+
+def _marks(need: Need | None) -> frozenset[str]:
+    if need is None:
+        return frozenset()
+    return need[1] if need[0] == "any" else frozenset().union(*map(_marks, need[1]))
+
+
+def _tree(tests: list[Column], join) -> Column:
+    while len(tests) > 1:  # balanced: plans of many tests stay shallow
+        tests = [join(tests[k], tests[k + 1]) if k + 1 < len(tests) else tests[k] for k in range(0, len(tests), 2)]
     return tests[0]
+
+
+class Guards:
+    """The needs of several patterns, by name."""
+
+    def __init__(self, patterns: dict[str, str]):
+        self.needs = {k: needs_of(p) for k, p in patterns.items()}
+        marks = frozenset().union(*map(_marks, self.needs.values()))
+        self.words = sorted(m for m in marks if m[0] != "~")
+        self.parts = sorted(m for m in marks if m[0] == "~")
+
+    def present(self, plain: Column) -> Column:
+        """Marks that a text, as text.plain_words(), holds: array<string>."""
+        low = F.lower(plain)
+        words = F.filter(F.split(low, "[^a-z0-9_]+"), lambda w: w.isin(self.words))
+        return F.concat(words, F.array_compact(F.array(*[F.when(F.contains(low, F.lit(p[1:])), F.lit(p)) for p in self.parts]).cast("array<string>")))
+
+    def allow(self, present: Column, name: str) -> Column:
+        """False only where the pattern of that name is not found in the text."""
+
+        def test(need: Need) -> Column:
+            if need[0] == "any":
+                return F.arrays_overlap(present, F.array(*map(F.lit, sorted(need[1]))))
+            return _tree([test(n) for n in need[1]], (lambda a, b: a & b) if need[0] == "all" else (lambda a, b: a | b))
+
+        return F.lit(True) if self.needs[name] is None else test(self.needs[name])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from . import fixed, guards
+from . import fixed
 
 FLAGS = "(?iuUd)"
 
@@ -41,11 +41,6 @@ def plain_rx(pattern: str) -> str:
     return "(?id)" + pattern
 
 
-def meets(plain: Column, squeezed: Column, patterns: list[str]) -> Column:
-    """Whether one of patterns is found in plain_words(), of which squeezed is guards.squeezed(): most texts are told from that."""
-    return guards.may_meet(squeezed, "|".join(f"(?:{p})" for p in patterns)) & plain.rlike(any_of(patterns))
-
-
 def flag(text: Column, pattern: str) -> Column:
     return text.rlike(rx(pattern)).cast("int")
 
@@ -228,16 +223,18 @@ def match_bounds(text: Column, pattern: str) -> Column:
     return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
 
 
-def organisation_link(text: Column, squeezed: Column) -> Column:
+#: What texts that organisation_link() may be 1 for hold: each name has one of these, and there is a term.
+ORGANISATION_HINT = f"(?:universit|institute|hochschule|school|daad|tum|tuhh|bsbi|assist).*{fixed.PROGRAM_OR_OUTCOME}"
+
+
+def organisation_link(text: Column) -> Column:
     """1 if a named organisation has a programme or outcome term within 120 characters.  The organisation's capitals match any
-    letter, as all patterns ignore case.  squeezed: guards.squeezed() of the text's plain_words()."""
+    letter, as all patterns ignore case."""
     t = squeeze(null_safe(text))
     near = lambda x: F.substring(t, F.greatest(F.lit(0), x["s"] - fixed.ORGANISATION_WINDOW) + 1, x["e"] + fixed.ORGANISATION_WINDOW - F.greatest(F.lit(0), x["s"] - fixed.ORGANISATION_WINDOW))
     named = rx(fixed.NAMED_ORGANISATION)
     linked = F.exists(match_bounds(t, named), lambda x: near(x).rlike(rx(fixed.PROGRAM_OR_OUTCOME)))
-    hints = ("universit", "institute", "hochschule", "school", "daad", "tum", "tuhh", "bsbi", "assist")  # each name has one of these
-    hint = guards.may_meet(squeezed, fixed.PROGRAM_OR_OUTCOME) & guards.may_meet(squeezed, "|".join(hints))
-    return F.when(hint & t.rlike(named), linked.cast("int")).otherwise(F.lit(0))
+    return F.when(t.rlike(named), linked.cast("int")).otherwise(F.lit(0))
 
 
 def handle_of(url: Column) -> Column:

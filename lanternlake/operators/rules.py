@@ -34,10 +34,11 @@ def rule_flags(rows: DataFrame, text: str, only: list[str] | None = None) -> Dat
     texts that hold a word of it."""
     wanted = [r for r, *_ in fixed.RULES if only is None or r in only]
     tested = list(dict.fromkeys(x for r in wanted for x in DERIVED.get(r, [r])))
+    guard = guards.Guards({r: X.ORGANISATION_HINT if r == "RULE_ORG_LINK" else pattern_of(r) for r in tested})
     rows = X.once(rows, {"__plain": X.plain_words(F.col(text))})
-    rows = X.once(rows, {"__squeezed": guards.squeezed(F.col("__plain"))})
-    flags = {r: X.organisation_link(F.col(text), F.col("__squeezed")) if r == "RULE_ORG_LINK" else X.meets(F.col("__plain"), F.col("__squeezed"), [pattern_of(r)]).cast("int") for r in tested}
-    out = X.once(rows, flags).drop("__plain", "__squeezed")
+    rows = X.once(rows, {"__present": guard.present(F.col("__plain"))})
+    own = lambda r: X.organisation_link(F.col(text)) if r == "RULE_ORG_LINK" else F.col("__plain").rlike(X.plain_rx(pattern_of(r))).cast("int")
+    out = X.once(rows, {r: F.when(guard.allow(F.col("__present"), r), own(r)).otherwise(0) for r in tested}).drop("__plain", "__present")
     derived = {r: F.greatest(*DERIVED[r]) if len(DERIVED[r]) > 1 else F.col(DERIVED[r][0]) for r in wanted if r in DERIVED}
     return out.withColumns(derived).drop(*(x for x in tested if x not in wanted)) if derived else out
 

@@ -38,6 +38,34 @@ def test_text_examples(spark):
     assert one(spark, "https://instagram.com/p/abc", X.handle_of) is None
 
 
+def test_guards_allow_what_patterns_find():
+    """Texts of a pattern's own words in odd case and spacing: where it is found, its needs are met."""
+    import random
+
+    from lanternlake.functions import guards
+
+    def met(need, low, words):
+        if need is None:
+            return True
+        if need[0] == "any":
+            return any(m[1:] in low if m[0] == "~" else m in words for m in need[1])
+        return (all if need[0] == "all" else any)(met(n, low, words) for n in need[1])
+
+    rnd = random.Random(1)
+    patterns = {r: R.pattern_of(r) for r, *_ in fixed.RULES if r != "RULE_ORG_LINK"} | {"org": X.ORGANISATION_HINT}
+    found = 0
+    for name, pattern in patterns.items():
+        need = guards.needs_of(pattern)
+        bits = re.findall(r"[A-Za-z]+|\d+", pattern.replace("\\b", " ").replace("\\s", " ").replace("\\d", "7"))
+        for _ in range(400):
+            t = "".join(rnd.choice([str.upper, str.lower, str.title])(rnd.choice(bits)) + rnd.choice([" ", " ", "  ", "-", "", ". ", "'s ", " 5 ", "% "]) for _ in range(rnd.randint(2, 12)))
+            t = rnd.choice(PHRASES) + " " + t
+            if re.search(pattern, t, re.I):
+                found += 1
+                assert met(need, t.lower(), set(re.split("[^a-z0-9_]+", t.lower()))), (name, t)
+    assert found > 1000
+
+
 def test_rules_match_python(spark):
     """All rule patterns mean in Spark what they mean in Python, Unicode included."""
     texts = [*PHRASES, "no été visa", "éno tuition", "100 % visa", "Guaranteed admission", "ÄNO IELTS", "İELTS waived", "we got admission for Ann Lee", ""]
