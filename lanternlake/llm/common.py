@@ -53,10 +53,10 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 
 
 def file_count(docs: DataFrame) -> int:
-    """Files of a table that is derived from docs: one for 16 MB of what docs reads, and at least one a core of the cluster, so
+    """Files of a table that is derived from docs: one for 8 MB of what docs reads, and at least one a core of the cluster, so
     that a small input isn't scattered over many tiny files however many shuffle partitions there are."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(1 << 30, max(docs.sparkSession.sparkContext.defaultParallelism, size >> 24))
+    return min(1 << 30, max(docs.sparkSession.sparkContext.defaultParallelism, size >> 23))
 
 
 @contextlib.contextmanager
