@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import evidence_queries, model_queries, text_queries
+from .plans import check_queries, evidence_queries, model_queries, text_queries
 
-PARTS = [text_queries, evidence_queries, model_queries]
+PARTS = [text_queries, evidence_queries, model_queries, check_queries]
 
 
 def queries() -> dict:

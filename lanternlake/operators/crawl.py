@@ -76,9 +76,10 @@ def external_link(text: Column) -> Column:
     return F.rtrim(F.get(found, F.lit(0)), F.lit(".,);]"))
 
 
-def page_links(html: Column, base: str = "https://example.org") -> Column:
-    """Targets of links, absolute, without query and last slash, each once in order."""
+def page_links(html: Column, base: str = "https://example.org", part: str | None = None) -> Column:
+    """Targets of links, absolute, without query and last slash, each once in order; with part, of those that hold it."""
     raw = F.regexp_extract_all(html, F.lit(r"""<a\b[^>]*?href=["']([^"'#]+)"""), F.lit(1))
+    raw = F.filter(raw, lambda u: F.contains(u, F.lit(part))) if part else raw
     full = F.transform(raw, lambda u: F.when(u.startswith("/"), F.concat(F.lit(base), u)).otherwise(u))
     return F.array_distinct(F.transform(full, lambda u: F.rtrim(F.regexp_replace(u, r"\?.*$", ""), F.lit("/"))))
 

@@ -4,6 +4,7 @@ import json
 import random
 import re
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -169,3 +170,22 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT count(*) AS n FROM once").first()["n"] == events.select("user_id").distinct().count()
+
+
+def test_checks_raise(spark):
+    """Validations name what they find; cells and bytes fall back."""
+    from lanternlake.operators import checks
+
+    rows = spark.createDataFrame([("a", "normal"), ("a", "odd"), ("b", None)], "k string, label string")
+    with pytest.raises(ValueError, match="'a', 2"):
+        checks.require_none(checks.duplicate_keys(rows, "k"), "selected twice")
+    assert {r["label"] for r in checks.unknown_labels(rows, "label").collect()} == {"odd", None}
+    checks.require_none(checks.small_classes(rows, "k", 1), "too few")
+    assert checks.first_column(["b", "c"], ["a", "c", "b"]) == "c" and checks.first_column([], ["a"]) is None
+    assert len(checks.bio_labels()) == 33
+    raw = spark.createDataFrame([(bytearray("\ufeffé".encode()),), (bytearray("é".encode()),), (bytearray("é".encode("latin1")),), (bytearray(),)], "b binary")
+    assert [r[0] for r in raw.select(checks.decoded(F.col("b"))).collect()] == ["é", "é", "é", ""]
+    both = rows.select(checks.payload(rows, ["k", "label", "missing"]).alias("j")).collect()
+    assert [r["j"] for r in both] == ['{"k":"a","label":"normal"}', '{"k":"a","label":"odd"}', '{"k":"b","label":null}']
+    tags = spark.createDataFrame([("#été #a_b #été x",)], "t string").select(checks.raw_hashtags(F.col("t"))).first()[0]
+    assert tags == ["été", "a_b"]
