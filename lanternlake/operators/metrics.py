@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from .running import of_score, running
 
 NAMES = ["accuracy", "balanced_accuracy", "precision", "recall", "f1", "macro_f1", "weighted_f1"]
 
@@ -46,9 +47,7 @@ def metric_bundle(rows: DataFrame, by: list[str], y: str, score: str, threshold:
 def by_score(rows: DataFrame, by: list[str], y: str, score: str) -> DataFrame:
     """One row a distinct score: n and pos, and the sums of those at or above it (cn, cp) and of all (n_all, p_all)."""
     ties = rows.groupBy(*by, F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
-    w = Window.partitionBy(*by)
-    down = w.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    return ties.withColumns({"cn": F.sum("n").over(down), "cp": F.sum("pos").over(down), "n_all": F.sum("n").over(w), "p_all": F.sum("pos").over(w)})
+    return running(ties, by, of_score(F.col("s")), [F.desc("s")], {"cn": F.col("n"), "cp": F.col("pos")}, {"cn": "n_all", "cp": "p_all"})
 
 
 def roc_auc(rows: DataFrame, by: list[str], y: str, score: str) -> DataFrame:
@@ -78,9 +77,7 @@ def threshold_sweep(rows: DataFrame, by: list[str], y: str, score: str) -> DataF
     """Metrics at every candidate threshold: thresholds and scores are sorted together once, no threshold meets every row."""
     marks = threshold_grid(rows, by, score).select(*by, F.col("threshold").alias("s"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("pos"), F.lit(1).alias("mark"))
     ties = rows.groupBy(*by, F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("pos")).withColumn("mark", F.lit(0))
-    w = Window.partitionBy(*by)
-    down = w.orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, 0)
-    both = ties.unionByName(marks).withColumns({"cn": F.sum("n").over(down), "tp": F.sum("pos").over(down), "n_all": F.sum("n").over(w), "p_all": F.sum("pos").over(w)}).filter("mark = 1")
+    both = running(ties.unionByName(marks), by, of_score(F.col("s")), [F.desc("s")], {"cn": F.col("n"), "tp": F.col("pos")}, {"cn": "n_all", "tp": "p_all"}, ties=True).filter("mark = 1")
     both = both.withColumns({"fp": F.col("cn") - F.col("tp"), "fn": F.col("p_all") - F.col("tp")})
     both = both.withColumn("tn", F.col("n_all") - F.col("cn") - F.col("fn"))
     return both.select(*by, F.col("s").alias("threshold"), "tp", "fp", "fn", "tn").withColumns(bundle(*[F.col(x) for x in ("tp", "fp", "fn", "tn")]))

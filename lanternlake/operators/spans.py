@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from .running import of_hash, running
 
 
 def resolve_overlaps(spans: Column) -> Column:
@@ -107,10 +108,11 @@ def relation_metrics(rows: DataFrame, labels: list[str], threshold: float = 0.5)
 def group_folds(rows: DataFrame, group: str, k: int) -> DataFrame:
     """rows with fold: all rows of a group in one fold, folds balanced by rows.
 
-    Groups are dealt in falling order of size, back and forth over the folds: a window over sizes, not a driver loop.
+    Groups are dealt in falling order of size (equal ones by hash), back and forth over the folds: not a driver loop.
     """
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    per_size = sizes.withColumn("i", F.row_number().over(Window.partitionBy("n").orderBy(group)) - 1)
+    hashed = sizes.withColumn("__h", F.md5(F.col(group).cast("string").cast("binary")))
+    per_size = running(hashed, ["n"], of_hash(F.coalesce("__h", F.lit("000"))), ["__h", group], {"i": F.lit(1)}).withColumn("i", F.col("i") - 1)
     # groups of equal size are dealt in turn; where each size begins is a running count over distinct sizes, which are few
     starts = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("n", "before")
     place = F.col("before") + F.col("i")

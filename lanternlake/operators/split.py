@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from .running import of_hash, running
 
 
 def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -97,14 +98,14 @@ def fingerprint_stats(rows: DataFrame, fp: str) -> DataFrame:
 
 
 def fingerprint_overlap(left: DataFrame, right: DataFrame, fp: str, key: str, n: int = 20) -> DataFrame:
-    """The first n shared fingerprints with both sides' keys."""
-    ids = lambda d, name: d.groupBy(fp).agg(F.array_join(F.array_sort(F.collect_set(key)), ",").alias(name))
-    return ids(left, "left_ids").join(ids(right, "right_ids"), fp).orderBy(fp).limit(n)
+    """The first n shared fingerprints with both sides' keys.  Keys are gathered for those n only."""
+    first = left.select(fp).distinct().join(right.select(fp).distinct(), fp).orderBy(fp).limit(n)
+    ids = lambda d, name: d.join(F.broadcast(first), fp, "left_semi").groupBy(fp).agg(F.array_join(F.array_sort(F.collect_set(key)), ",").alias(name))
+    return ids(left, "left_ids").join(ids(right, "right_ids"), fp)
 
 
 def stratified_split(rows: DataFrame, label: str, order: str, share: float) -> DataFrame:
     """rows with is_validation: the first share of each class in order of a hash of the key."""
-    w = Window.partitionBy(label)
     h = F.md5(F.col(order).cast("string").cast("binary"))
-    place = F.row_number().over(w.orderBy(h, order))
-    return rows.withColumn("is_validation", (place <= F.ceil(share * F.count(F.lit(1)).over(w))).cast("int"))
+    placed = running(rows.withColumn("__h", h), [label], of_hash(F.col("__h")), ["__h", order], {"__place": F.lit(1)}, {"__place": "__all"})
+    return placed.withColumn("is_validation", (F.col("__place") <= F.ceil(share * F.col("__all"))).cast("int")).drop("__h", "__place", "__all")

@@ -1,5 +1,6 @@
 """Operators against plain restatements of what they mean."""
 
+import hashlib
 import json
 import random
 import re
@@ -107,6 +108,9 @@ def test_folds_and_decisions(spark):
     rows = spark.createDataFrame([(i, f"g{min(i % 17, i % 5)}") for i in range(300)], "id int, g string")
     got = N.group_folds(rows, "g", 3).collect()
     assert len(got) == 300 and all(len({r["fold"] for r in got if r["g"] == g}) == 1 for g in {r["g"] for r in got})
+    sizes = {g: sum(r["g"] == g for r in got) for g in {r["g"] for r in got}}
+    dealt = sorted(sizes, key=lambda g: (-sizes[g], hashlib.md5(g.encode()).hexdigest()))
+    assert {r["g"]: r["fold"] for r in got} == {g: (0, 1, 2, 2, 1, 0)[i % 6] for i, g in enumerate(dealt)}
     rnd = random.Random(4)
     log = [(u, i, f"{u}-{i}", rnd.choice(["label_normal", "skip", "back", "back"])) for u in range(6) for i in range(40)]
     want = []
