@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import functools
 import gc
 import tempfile
 import uuid
@@ -28,11 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lanternlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _local_dir()
     return found
 
 
+@functools.cache
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="lanternlake-")
+
+
 #: The scratch() blocks that are open in this context, innermost last: paths that materialize() wrote, and most files of a table.
 _open: contextvars.ContextVar[tuple[tuple[list[str], int | None], ...]] = contextvars.ContextVar("scratch", default=())
 

@@ -461,6 +461,21 @@ def test_scratch_deletes_its_own_paths_only(spark):
         inner.count()
 
 
+def test_shared_folder():
+    """The session's own setting; without one, a temporary folder where Spark is local, and an error on a cluster."""
+
+    class Session:
+        def __init__(self, folder, master):
+            self.conf = type("Conf", (), {"get": staticmethod(lambda key, default: folder)})
+            self.sparkContext = type("Context", (), {"master": master})
+
+    assert common.shared_dir(Session("hdfs://x/y", "yarn")) == "hdfs://x/y"
+    local = common.shared_dir(Session(None, "local[2]"))
+    assert local.startswith("file:///") and common.shared_dir(Session(None, "local[2]")) == local
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session(None, "spark://host:7077"))
+
+
 @pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
 def test_stage_on_odd_input(spark, stage):
     """Each stage takes nulls, empty and long texts, repeated rows, clashing columns, and an empty table."""
