@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark import cloudpickle
 
-from . import license_scan, line_dedup, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, secret_scan, source_mixing, topk_search
+from . import license_scan, line_dedup, lm_scoring, lm_words, near_dedup, packing, quality_classifier, quality_rules, secret_scan, source_mixing, topk_search
 
-for _module in (lm_scoring, near_dedup, packing, quality_classifier, topk_search):
+for _module in (lm_scoring, lm_words, near_dedup, packing, quality_classifier, topk_search):
     cloudpickle.register_pickle_by_value(_module)  # executors need not have this package on their path
 
 

@@ -1,43 +1,51 @@
 """Language-model scoring by online logistic context mixing.
 
-A text is its lower-cased words and one end; a word's bytes and a closing byte are coded bit by bit.  Hashed contexts (the
-last one, two and four bytes of the word, and all of it so far) each predict the next bit from the counts of the training
-corpus; a mixer adds their logits with weights gated by each predictor's confidence, and an adaptive probability map refines
-the result by what it was worth.  The bits' costs add up to the text's probability and to bits per byte.
-
-Contexts don't reach over a word's start, so that a word costs the same wherever it stands, and each distinct word is coded
-once, whatever the corpus's size.
-
-1. Words are counted in all training texts (map-side, then by word).
-2. Bit counts of all contexts: summed by slot over all training words, weighted by their counts.
-3. Mixer and map learn online over all training words: each task goes once through its words, in small steps, leaving one
-   occurrence of the word at hand out of the counts; the tasks' weights are averaged, the maps' sums are added.
-4. Each distinct word gets its log10 probability; texts add up theirs.  The HOT most frequent words are sent to every task
-   (a bounded table); the others are joined by word.
+A text is its lower-cased words and one end, coded in order.  A word that training texts have is coded by mixing contexts over
+words: the last two, the last one, none (lm_words.py).  Any other word is spelled out: its bytes and a closing byte are coded
+bit by bit.  Hashed contexts (the last one, two and four bytes of the word, and all of it so far) each predict the next bit from
+the distinct training words; a mixer adds their logits with weights gated by each predictor's confidence, and an adaptive
+probability map refines the result by what it was worth.  The costs add up to the text's probability and to bits per byte.
+
+Counts of words, pairs and triples of words are exact and complete, however many there are: they stay dealt over buckets.
+
+1. Texts become chunks of about CHUNK words.  A chunk sends its distinct words to buckets by word, which count them in all
+   training texts, number them, and send back numbers and counts.
+2. Spelling: bit counts of all contexts, summed by slot over all distinct training words; mixer and map learn online over them.
+   Only words that no training text has are spelled, each once.
+3. A chunk sends its distinct triples of words to buckets by the middle one, where all that follow a word meet.  In a first pass
+   mixer and map learn online, leaving one occurrence of the triple at hand out of the counts; the buckets' weights are averaged,
+   the maps' sums are added.  In a second pass the triples get their log10 probability and go back to their chunk.
+4. A chunk adds up its texts' words.
+
+Numbers of buckets follow the input's size and a word's number its spelling, so that neither reruns nor the dealing of texts over
+tasks changes what is learned from words, but for the order in which floating-point numbers are added up.
 
 Defined results: null and empty texts have the end only; null ids fold as the empty text; repeated rows are documents of
-their own; words of over SEGMENT bytes are coded in stretches; with no training text, counts are 0 and V is 0.
+their own; words of over SEGMENT bytes are spelled in stretches; with no training text, counts are 0 and V is 0.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import pickle
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, materialize, table
+from . import lm_words
+from .common import clean_shuffles, fold_of, materialize, scratch, table
 
 #: Bytes of history of each context; the last takes all of the word.
 ORDERS = (1, 2, 4, 99)
 #: log2 of each context's slots, and where each context's slots start in the one table of all.
 SLOT_BITS = (16, 20, 21, 22)
 STARTS = tuple(sum(1 << b for b in SLOT_BITS[:k]) for k in range(5))
-#: Words seen less often add nothing to the context of all bytes so far, which would only remember them.
-WHOLE_FROM = 2
 SEGMENT = 48
 CLOSE, END = 0x20, 0x0A
 CONFIDENCE = 16
@@ -45,8 +53,14 @@ CELLS = 33
 STEP, RATE = 16384, 0.1
 #: Gates: sets of weights by the confidence of the context of all bytes so far.
 GATES, GATE_STEP = 5, 3
-#: Words handled at once, distinct words a task counts before it hands them on, and words sent to every task.
-BLOCK, HELD, HOT = 100_000, 300_000, 150_000
+#: Words spelled at once, and words of a chunk (more where one text has more).
+BLOCK, CHUNK = 50_000, 1 << 19
+#: log2 of the bytes of input for one bucket of words and of triples.
+WORD_BYTES, TRIPLE_BYTES = 25, 24
+#: log2 of the training words for one bucket of triples, where these ask for more buckets.
+TRIPLE_WORDS = 19
+#: Numbers of what stands before a text, and of words that no training text has; the others follow.
+START, UNKNOWN, FIRST = 0, 1, 2
 MAP_SHARE = np.float32(0.5)
 #: Evidence that each side of a bit has from the start.
 LEAST = np.float32(0.05)
@@ -108,10 +122,9 @@ def add_counts(words: list[bytes], times: np.ndarray, counts: np.ndarray) -> Non
     """Add the bits of words to counts (slot * 2 + bit)."""
     coded = Coded(words)
     weight = times[coded.owner].astype(np.float32)
-    whole = np.where(weight >= WHOLE_FROM, weight, np.float32(0))
     for m, _, y, slots in coded.steps():
-        for k, s in enumerate(slots):
-            np.add.at(counts, s * 2 + y, (whole if ORDERS[k] == 99 else weight)[:m])
+        for s in slots:
+            np.add.at(counts, s * 2 + y, weight[:m])
 
 
 class Mixer:
@@ -190,31 +203,26 @@ def refined_cells(ones: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-# ---------------------------------------------------------------------------------------------------- corpus passes
+# ---------------------------------------------------------------------------------------------------- spelling, on tables
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """docs (t, learn): word and c, its count in texts to learn from (0 for words of other texts only)."""
+def pack(columns: dict) -> bytes:
+    """Arrays of whole numbers from 0 as planes of bytes; the rest as it is; all compressed."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter = Counter()
-        other: set[bytes] = set()
+    def planes(a: np.ndarray) -> tuple[str, bytes]:
+        a = np.ascontiguousarray(a, np.min_scalar_type(int(a.max()) if len(a) else 0))
+        return a.dtype.str, a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
 
-        def rows() -> pd.DataFrame:
-            more = [w for w in other if w not in found]
-            return pd.DataFrame({"word": [*found, *more], "c": [*found.values(), *([0] * len(more))]})
+    flat = pickle.dumps({k: planes(v) if isinstance(v, np.ndarray) else v for k, v in columns.items()})
+    return len(flat).to_bytes(8, "little") + pa.compress(flat, "zstd", asbytes=True)
 
-        for batch in batches:
-            for t, learn in zip(batch["t"], batch["learn"], strict=True):
-                ws = tokens(t)
-                ws.append(b"")
-                found.update(ws) if learn else other.update(ws)
-                if len(found) + len(other) > HELD:
-                    yield rows()
-                    found, other = Counter(), set()
-        yield rows()
 
-    return docs.mapInPandas(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+def unpack(x: bytes) -> dict:
+    def array(kind: str, flat: bytes) -> np.ndarray:
+        kind = np.dtype(kind)
+        return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(kind.itemsize, -1).T).view(kind).reshape(-1).astype(np.int64)
+
+    return {k: array(*v) if isinstance(v, tuple) else v for k, v in pickle.loads(pa.decompress(bytes(x[8:]), int.from_bytes(x[:8], "little"), "zstd")).items()}
 
 
 def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[bytes], np.ndarray]]:
@@ -231,32 +239,28 @@ def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[bytes], np.nd
 
 
 def bit_counts(words: DataFrame) -> np.ndarray:
-    """Counts of all contexts (slot * 2 + bit) over words (word, c): a table of fixed size, fetched in packed stretches."""
+    """Counts of all contexts (slot * 2 + bit) over words (word, c): a table of fixed size, added up and fetched in packed stretches."""
     size, stretch = 2 * STARTS[-1], 1 << 16
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(size, np.float32)
         for ws, c in blocks(batches):
             add_counts(ws, c, counts)
-        some = np.flatnonzero(counts)
-        for a in range(0, len(some), 1_000_000):
-            yield pd.DataFrame({"i": some[a : a + 1_000_000].astype(np.int32), "n": counts[some[a : a + 1_000_000]].astype(np.float64)})
+        for a in range(0, size, stretch):
+            if (part := counts[a : a + stretch]).any():
+                yield pd.DataFrame({"p": [a // stretch], "x": [pack({"n": part.astype(np.int64)})]})
 
-    def packed(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        flat = np.zeros(stretch, "<f4")
-        flat[part["i"].to_numpy() - key[0] * stretch] = part["n"].to_numpy()
-        return pd.DataFrame({"p": [key[0]], "x": [flat.tobytes()]})
+    def added(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"p": [key[0]], "x": [pack({"n": sum(unpack(x)["n"] for x in part["x"])})]})
 
-    summed = words.mapInPandas(run, "i int, n double").groupBy("i").agg(F.sum("n").alias("n"))
-    rows = summed.withColumn("p", F.shiftright("i", 16)).groupBy("p").applyInPandas(packed, "p int, x binary").collect()
     counts = np.zeros(size, np.float32)
-    for r in rows:
-        counts[r["p"] * stretch : (r["p"] + 1) * stretch] = np.frombuffer(r["x"], "<f4")[: size - r["p"] * stretch]
+    for r in words.mapInPandas(run, "p int, x binary").groupBy("p").applyInPandas(added, "p int, x binary").collect():
+        counts[r["p"] * stretch : (r["p"] + 1) * stretch] = unpack(r["x"])["n"]
     return counts
 
 
 def fit(words: DataFrame) -> tuple:
-    """counts, weights and cells, learned from all of words (word, c > 0)."""
+    """counts, weights and cells of the spelling, learned from all of words (word, c: its weight)."""
     spark = words.sparkSession
     counts = bit_counts(words)
     sent = spark.sparkContext.broadcast(counts)
@@ -282,78 +286,252 @@ def fit(words: DataFrame) -> tuple:
     return sent, weights, refined_cells(ones, total)
 
 
-def word_scores(words: DataFrame, model: tuple) -> DataFrame:
-    """words (word, c) with score, the model's log10 probability."""
-    sent, weights, cells = model
+# ---------------------------------------------------------------------------------------------------- texts, on tables
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mixer = Mixer(sent.value, weights, cells)
-        for ws, c in blocks(batches):
-            yield pd.DataFrame({"word": ws, "c": c, "score": mixer.log10(ws)})
 
-    return words.mapInPandas(run, "word binary, c long, score double")
+def joined(words: list[bytes]) -> dict:
+    return {"size": np.fromiter(map(len, words), np.int64, len(words)), "flat": b"".join(words)}
 
 
-def score_texts(docs: DataFrame, words: DataFrame, total: int, distinct: int, text: str, doc_id: str) -> DataFrame:
-    """docs' doc_id, held_out with n_tokens, n_known, n_bytes, base_score, score.  words: word, c, score."""
-    spark = docs.sparkSession
-    base = F.log10((F.col("c") + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
-    scored = words.select("word", "c", base.alias("base"), "score")
-    top = scored.orderBy(F.col("c").desc(), "word").limit(HOT).toPandas()
-    sent = spark.sparkContext.broadcast({bytes(w): (c > 0, b, s) for w, c, b, s in top.itertuples(index=False)})
-    id_type = docs.schema[doc_id].dataType
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("string").alias("id"), "held_out", F.coalesce(F.col(text), F.lit("")).alias("t"))
-    schema = "rid long, id string, held_out boolean, word binary, k long, n long, known long, size long, base double, score double"
+def parted(x: dict) -> list[bytes]:
+    ends = np.cumsum(x["size"]).tolist()
+    flat = x["flat"]
+    return [flat[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+
+
+SCHEMA = "kind string, chunk long, bucket int, x binary"
+
+
+def rows_of(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["kind", "chunk", "bucket", "x"])
+
+
+def chunked(docs: DataFrame, buckets: int) -> DataFrame:
+    """docs (id, held_out, t): of each chunk its texts ('texts') and, by bucket, its distinct words ('words')."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hot = sent.value
+        number = TaskContext.get().partitionId() << 32
+        local, ids, held, size, length, tok = defaultdict(), [], [], [], [], []
+        local.default_factory = local.__len__
+
+        def flush() -> pd.DataFrame:
+            words = list(local)
+            places = np.concatenate(tok).astype(np.int64)
+            train = ~np.repeat(np.array(held, bool), length)
+            count = np.bincount(places[train], minlength=len(words))
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            out = [("texts", number, -1, pack({"ids": list(ids), "held": np.array(held, np.int64), "size": np.array(size), "length": np.array(length), "tok": places, "bucket": bucket}))]
+            for b in np.flatnonzero(np.diff(ends)).tolist():
+                mine = order[ends[b] : ends[b + 1]]
+                out.append(("words", number, b, pack({**joined([words[i] for i in mine.tolist()]), "count": count[mine]})))
+            return rows_of(out)
+
+        waiting = 0
         for batch in batches:
-            out: list[tuple] = []
-            for rid, i, h, t in batch.itertuples(index=False):
-                counts = Counter(tokens(t))
-                counts[b""] = 1
-                n = known = 0
-                b = s = 0.0
-                for w, k in counts.items():
-                    n += k
-                    got = hot.get(w)
-                    if got is None:
-                        out.append((rid, i, h, w, k, 0, 0, 0, 0.0, 0.0))
-                    else:
-                        known += k * got[0]
-                        b += k * got[1]
-                        s += k * got[2]
-                # a key with a space is no word: the row meets nothing in the join, and not all such rows in one task
-                out.append((rid, i, h, b" %d" % rid, 0, n, known, len(t.encode("utf-8", "surrogatepass")), b, s))
-                if len(out) > 200_000:
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
-            yield pd.DataFrame(out, columns=names)
-
-    names = [x.split()[0] for x in schema.split(", ")]
-    rare = scored.select(F.col("word").alias("w"), "c", F.col("base").alias("b"), F.col("score").alias("s"))
-    got = rows.mapInPandas(run, schema).join(rare, F.col("word") == F.col("w"), "left")
-    some = lambda x: F.coalesce(F.col("k") * x, F.lit(0))
-    out = got.groupBy("rid").agg(
-        F.max("id").alias("id"),
-        F.max("held_out").alias("held_out"),
-        F.sum("n").alias("n_tokens"),
-        F.sum(F.col("known") + some((F.col("c") > 0).cast("long"))).alias("n_known"),
-        F.sum("size").alias("n_bytes"),
-        F.sum(F.col("base") + some(F.col("b"))).alias("base_score"),
-        F.sum(F.col("score") + some(F.col("s"))).alias("score"),
-    )
+            for i, h, t in zip(batch["id"], batch["held_out"], batch["t"], strict=True):
+                ws = tokens(t)
+                ws.append(b"")
+                tok.append(np.fromiter(map(local.__getitem__, ws), np.uint32, len(ws)))
+                ids.append(i)
+                held.append(h)
+                size.append(len(t.encode("utf-8", "surrogatepass")))
+                length.append(len(ws))
+                waiting += len(ws)
+                if waiting >= CHUNK:
+                    yield flush()
+                    number, waiting = number + 1, 0
+                    for x in (local, ids, held, size, length, tok):
+                        x.clear()
+        if waiting:
+            yield flush()
+
+    return docs.mapInPandas(run, SCHEMA)
+
+
+def numbered(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Of each chunk and bucket the words' numbers and counts ('counts') and which unknown words they are ('places'); of each bucket
+    its known words ('known', with n: their count, v: how many, ones: how many that occur once) and unknown ones ('unknown')."""
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        found = defaultdict()
+        found.default_factory = found.__len__
+        places, counts = [], []
+        for x in map(unpack, part["x"]):
+            places.append(np.fromiter(map(found.__getitem__, parted(x)), np.int64, len(x["size"])))
+            counts.append(x["count"])
+        words = list(found)
+        total = np.zeros(len(words), np.int64)
+        for p, c in zip(places, counts, strict=True):
+            total[p] += c
+        known = sorted(np.flatnonzero(total > 0).tolist(), key=lambda i: (-total[i], words[i]))
+        unknown = sorted(np.flatnonzero(total == 0).tolist(), key=words.__getitem__)
+        number = np.full(len(words), UNKNOWN, np.int64)
+        number[known] = FIRST + key[0] + buckets * np.arange(len(known))
+        rank = np.zeros(len(words), np.int64)
+        rank[unknown] = np.arange(len(unknown))
+        out = []
+        for chunk, p in zip(part["chunk"], places, strict=True):
+            out.append(("counts", chunk, key[0], pack({"number": number[p], "count": total[p]})))
+            out.append(("places", chunk, key[0], pack({"rank": rank[p[total[p] == 0]]})))
+        out.append(("known", -1, key[0], pack(joined([words[i] for i in known]))))
+        out.append(("unknown", -1, key[0], pack(joined([words[i] for i in unknown]))))
+        got = rows_of(out).assign(n=0, v=0, ones=0)
+        got.loc[got["kind"] == "known", ["n", "v", "ones"]] = [int(total.sum()), len(known), int((total == 1).sum())]
+        return got
+
+    return chunks.filter("kind = 'words'").groupBy("bucket").applyInPandas(run, SCHEMA + ", n long, v long, ones long")
+
+
+def triples(chunks: DataFrame, found: DataFrame, buckets: int, total: int, distinct: int) -> DataFrame:
+    """Of each chunk its texts with all but the score ('texts') and, by bucket, its distinct triples ('triples')."""
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        x = unpack(part.loc[part["kind"] == "texts", "x"].iloc[0])
+        order = np.argsort(x["bucket"], kind="stable")
+        replies = [unpack(r) for r in part[part["kind"] == "counts"].sort_values("bucket")["x"]]
+        number, count = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        number[order] = np.concatenate([r["number"] for r in replies])
+        count[order] = np.concatenate([r["count"] for r in replies])
+        unknown = np.zeros(len(order), np.int64)
+        unknown[order] = np.cumsum(count[order] == 0) - 1
+        length, tok = x["length"], x["tok"]
+        doc = np.repeat(np.arange(len(length)), length)
+        starts = np.cumsum(length) - length
+        w, c = number[tok].astype(np.uint64), count[tok]
+        w1 = np.concatenate([w[:1], w[:-1]])
+        w1[starts] = START
+        w2 = np.concatenate([w1[:1], w1[:-1]])
+        w2[starts] = START
+        _, pair = np.unique(w1 << np.uint64(32) | w2, return_inverse=True)
+        _, first, place = np.unique(pair.astype(np.uint64) << np.uint64(32) | w, return_index=True, return_inverse=True)
+        n = np.bincount(place, ~x["held"].astype(bool)[doc], len(first)).astype(np.int64)
+        # nothing follows an unknown word in training texts: such triples need not meet
+        dealt = np.where(w1[first] == UNKNOWN, w[first], w1[first]) * MIX >> np.uint64(32)
+        bucket = (dealt % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[by], np.arange(buckets + 1))
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        base = np.bincount(doc, np.log10((c + 0.5) / (total + 0.5 * (distinct + 1))), len(length))
+        some = c == 0
+        known = np.bincount(doc[~some], minlength=len(length))
+        texts = {"ids": x["ids"], "held": x["held"], "size": x["size"], "length": length, "known": known, "base": base.tolist(), "place": rank[place], "doc": doc[some], "unknown": unknown[tok[some]]}
+        out = [("texts", key[0], -1, pack(texts))]
+        for b in np.flatnonzero(np.diff(ends)).tolist():
+            i = first[by[ends[b] : ends[b + 1]]]
+            out.append(("triples", key[0], b, pack({"w1": w1[i], "w2": w2[i], "w": w[i], "n": n[by[ends[b] : ends[b + 1]]], "c": c[i]})))
+        return rows_of(out)
+
+    both = chunks.filter("kind = 'texts'").unionByName(found.filter("kind = 'counts'").select(*chunks.columns))
+    return both.groupBy("chunk").applyInPandas(run, SCHEMA)
+
+
+def entries(blobs) -> tuple[list[np.ndarray], np.ndarray, list[int]]:
+    """Distinct triples of a bucket, the places of all given ones, and how many each blob gave."""
+    kinds = {"w1": np.uint32, "w2": np.uint32, "w": np.uint32, "n": np.int64, "c": np.int64}
+    given = [{k: v.astype(kinds[k]) for k, v in unpack(x).items()} for x in blobs]
+    sizes = [len(g["w"]) for g in given]
+    return *lm_words.merged(*(np.concatenate([g.pop(k) for g in given]) for k in kinds)), sizes
+
+
+def fit_words(made: DataFrame, total: int, distinct: int, ones: int) -> tuple:
+    """Weights and cells of the mixing over words: learned by bucket, averaged by the buckets' counts."""
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        mixer = lm_words.WordMixer(total, distinct, ones)
+        got = entries(part["x"])[0]
+        mixer.learn(got)
+        seen = float(got[3].sum())
+        return pd.DataFrame({"bucket": [key[0]], "seen": [seen], "x": [np.concatenate([mixer.weights, mixer.hits.reshape(-1), mixer.all.reshape(-1)]).tobytes()]})
+
+    weights, hits = lm_words.start_weights(), np.zeros((3 * lm_words.GATES, lm_words.CELLS))
+    tries, seen = hits.copy(), 0.0
+    learned = made.filter("kind = 'triples'").groupBy("bucket").applyInPandas(run, "bucket int, seen double, x binary")
+    summed = np.zeros(lm_words.SIZE)
+    for r in sorted(learned.filter("seen > 0").collect(), key=lambda r: r["bucket"]):
+        w, h, t = np.split(np.frombuffer(r["x"]), [lm_words.SIZE, lm_words.SIZE + hits.size])
+        summed, seen = summed + w * r["seen"], seen + r["seen"]
+        hits, tries = hits + h.reshape(hits.shape), tries + t.reshape(hits.shape)
+    return summed / seen if seen else weights, refined_cells(hits, tries)
+
+
+def triple_scores(made: DataFrame, model: tuple, total: int, distinct: int, ones: int) -> DataFrame:
+    """Of each chunk and bucket the triples' log10 shares ('shares')."""
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        got, place, sizes = entries(part["x"])
+        shares = lm_words.WordMixer(total, distinct, ones, *model).log10(got)[place].astype("<f4")
+        parts = np.split(shares, np.cumsum(sizes)[:-1])
+        return rows_of([("shares", chunk, key[0], p.tobytes()) for chunk, p in zip(part["chunk"], parts, strict=True)])
+
+    return made.filter("kind = 'triples'").groupBy("bucket").applyInPandas(run, SCHEMA)
+
+
+def spelled(found: DataFrame, model: tuple) -> DataFrame:
+    """Of each chunk and bucket the log10 probabilities of its unknown words ('spelled')."""
+    sent, weights, cells = model
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        words = parted(unpack(part.loc[part["kind"] == "unknown", "x"].iloc[0]))
+        mixer = Mixer(sent.value, weights, cells)
+        costs = np.concatenate([np.zeros(0), *(mixer.log10(words[a : a + BLOCK]) for a in range(0, len(words), BLOCK))])
+        mine = part[part["kind"] == "places"]
+        return rows_of([("spelled", chunk, key[0], costs[unpack(x)["rank"]].tobytes()) for chunk, x in zip(mine["chunk"], mine["x"], strict=True)])
+
+    return found.filter("kind in ('unknown', 'places')").select("kind", "chunk", "bucket", "x").groupBy("bucket").applyInPandas(run, SCHEMA)
+
+
+def text_scores(made: DataFrame, shares: DataFrame, spellings: DataFrame, total: int, id_type) -> DataFrame:
+    """A row a text: each chunk's texts add up the shares of their words, in order, and the spelling of unknown ones."""
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("bucket")
+        x = unpack(part.loc[part["kind"] == "texts", "x"].iloc[0])
+        parts = {k: part.loc[part["kind"] == k, "x"] for k in ("shares", "spelled")}
+        share = np.concatenate([np.frombuffer(r, "<f4") for r in parts["shares"]]).astype(float)
+        spelling = np.concatenate([np.zeros(0), *(np.frombuffer(r) for r in parts["spelled"])])
+        length = x["length"]
+        doc = np.repeat(np.arange(len(length)), length)
+        score = np.bincount(doc, share[x["place"]], len(length)) + np.bincount(x["doc"], spelling[x["unknown"]], len(length))
+        return pd.DataFrame({"id": x["ids"], "held_out": x["held"].astype(bool), "n_tokens": length, "n_known": x["known"], "n_bytes": x["size"], "base_score": x["base"], "score": score})
+
+    every = made.filter("kind = 'texts'").unionByName(shares).unionByName(spellings)
+    out = every.groupBy("chunk").applyInPandas(run, "id string, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double")
     return out.select(F.col("id").cast(id_type).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", F.when(F.col("n_bytes") > 0, -F.col("score") / F.lit(np.log10(2)) / F.col("n_bytes")).alias("bits_per_byte"))
 
 
 def score(docs: DataFrame, held_out, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row a document; the model learns from those for which the Column held_out is false."""
-    docs = docs.select(doc_id, text, held_out.alias("held_out"))
-    words = materialize(count_words(docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"), (~F.col("held_out")).alias("learn"))), "words")
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
-    model = fit(words.filter("c > 0"))
-    scored = materialize(word_scores(words, model), "scores")
-    return score_texts(docs, scored, total, distinct, text, doc_id)
+    spark = docs.sparkSession
+    id_type = docs.schema[doc_id].dataType
+    docs = docs.select(F.col(doc_id).cast("string").alias("id"), held_out.alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    size = min(1 << 50, int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+    word_buckets, triple_buckets = (min(1 << 16, max(8, size >> b)) for b in (WORD_BYTES, TRIPLE_BYTES))
+
+    def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for x in batch["x"]:
+                words = parted(unpack(x))
+                for a in range(0, len(words), BLOCK):
+                    yield pd.DataFrame({"word": words[a : a + BLOCK], "c": 1})
+
+    with scratch(spark):
+        chunks = materialize(chunked(docs, word_buckets), "chunks")
+        found = materialize(numbered(chunks, word_buckets), "words")
+        clean_shuffles(spark)
+        total, distinct, ones = found.agg(*(F.coalesce(F.sum(k), F.lit(0)) for k in ("n", "v", "ones"))).first()
+        triple_buckets = max(triple_buckets, total >> TRIPLE_WORDS)
+        made = materialize(triples(chunks, found, triple_buckets, total, distinct), "triples", keep=True)
+        clean_shuffles(spark)
+        spelling = fit(found.filter("kind = 'known'").select("x").mapInPandas(known, "word binary, c long"))
+        spellings = materialize(spelled(found, spelling), "spelled", keep=True)
+    model = fit_words(made, total, distinct, ones)
+    clean_shuffles(spark)
+    shares = materialize(triple_scores(made, model, total, distinct, ones), "shares")
+    clean_shuffles(spark)
+    return text_scores(made, shares, spellings, total, id_type)
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

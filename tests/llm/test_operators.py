@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lanternlake import llm
-from lanternlake.llm import common, license_scan, line_dedup, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, source_mixing, topk_search
+from lanternlake.llm import common, license_scan, line_dedup, lm_scoring, lm_words, near_dedup, packing, quality_classifier, quality_rules, source_mixing, topk_search
 from lanternlake.llm.common import fold_of
 
 SF = "/root/testdata/sf0.001"
@@ -303,6 +303,50 @@ def test_lm_is_a_distribution():
     assert p[0] > p[1] > p[2] >= 0
 
 
+def test_lm_word_shares_add_up_to_one():
+    """After any two words the shares of all known words and the share of all others are 1, learned weights and map included."""
+    rnd = random.Random(5)
+    words = [min(rnd.randint(2, 40), rnd.randint(2, 40)) for _ in range(3000)]
+    c = Counter(words)
+    seen = Counter(zip([0, *words], [0, 0, *words], words))  # noqa: B905
+    some = [np.array(x) for x in zip(*((*k, n, c[k[2]]) for k, n in seen.items()), strict=True)]
+    sizes = (len(words), len(c), sum(n == 1 for n in c.values()))
+    learned = lm_words.WordMixer(*sizes)
+    learned.learn(lm_words.merged(*some)[0])
+    model = lm_words.WordMixer(*sizes, learned.weights, lm_scoring.refined_cells(learned.hits, learned.all))
+    assert not np.array_equal(learned.weights, lm_words.start_weights())
+    for w1, w2 in [(words[0], 0), (words[50], words[49]), (words[7], 999), (998, 999)]:
+        every = [np.array(x) for x in zip(*((w1, w2, w, seen[w1, w2, w], c[w]) for w in [1, *c]), strict=True)]
+        others = [x[(some[0] == w1) & (some[1] != w2)] for x in some]
+        got, place = lm_words.merged(*(np.concatenate(x) for x in zip(every, others, strict=True)))
+        assert (10 ** model.log10(got))[place[: len(c) + 1]].sum() == pytest.approx(1)
+
+
+def test_lm_knows_the_order_of_words(spark):
+    """Prose scores above its shuffled words and above the base; neither the dealing nor the order of rows changes scores."""
+    rnd = random.Random(4)
+    follow = {w: rnd.sample(WORDS, 2) for w in WORDS}
+
+    def chain(n):
+        out = [rnd.choice(WORDS)]
+        while len(out) < n:
+            out.append(rnd.choice(follow[out[-1]]))
+        return out
+
+    rows = [(i, " ".join(chain(60)), False) for i in range(300)]
+    for i in range(300, 320):
+        words = chain(60)
+        rows += [(i, " ".join(words), True), (i + 1000, " ".join(rnd.sample(words, 60)), True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    got = {r["doc_id"]: r for r in lm_scoring.score(docs.repartition(1), F.col("held")).collect()}
+    for i in range(300, 320):
+        assert got[i]["score"] > got[i + 1000]["score"] + 10
+        assert got[i]["base_score"] == pytest.approx(got[i + 1000]["base_score"])
+        assert got[i]["score"] > got[i]["base_score"]
+    for r in lm_scoring.score(docs.repartition(5, "text").orderBy("text"), F.col("held")).collect():
+        assert r["score"] == pytest.approx(got[r["doc_id"]]["score"], rel=1e-5)
+
+
 def test_classifier(spark):
     found = quality_classifier.op5_quality_classifier(spark, "/root/testdata/sf0.01")
     rows = found.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out").collect()
