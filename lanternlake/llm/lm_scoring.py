@@ -56,7 +56,7 @@ GATES, GATE_STEP = 5, 3
 #: Words spelled at once, and words of a chunk (more where one text has more).
 BLOCK, CHUNK = 50_000, 1 << 19
 #: log2 of the bytes of input for one bucket of words and of triples.
-WORD_BYTES, TRIPLE_BYTES = 25, 24
+WORD_BYTES, TRIPLE_BYTES = 22, 24
 #: log2 of the training words for one bucket of triples, where these ask for more buckets.
 TRIPLE_WORDS = 19
 #: Numbers of what stands before a text, and of words that no training text has; the others follow.
@@ -238,9 +238,21 @@ def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[bytes], np.nd
         yield words, np.concatenate(counts)
 
 
-def bit_counts(words: DataFrame) -> np.ndarray:
-    """Counts of all contexts (slot * 2 + bit) over words (word, c): a table of fixed size, added up and fetched in packed stretches."""
-    size, stretch = 2 * STARTS[-1], 1 << 16
+#: Slots times two of a packed stretch of the table of bit counts.
+STRETCH = 1 << 16
+
+
+def slots_of(stretches: dict[int, bytes]) -> np.ndarray:
+    """The table of bit counts (slot * 2 + bit) out of its packed stretches."""
+    counts = np.zeros(2 * STARTS[-1], np.float32)
+    for p, x in stretches.items():
+        counts[p * STRETCH : (p + 1) * STRETCH] = unpack(x)["n"]
+    return counts
+
+
+def bit_counts(words: DataFrame) -> dict[int, bytes]:
+    """Counts of all contexts over words (word, c): a table of fixed size, added up and fetched in packed stretches."""
+    size, stretch = 2 * STARTS[-1], STRETCH
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(size, np.float32)
@@ -253,20 +265,17 @@ def bit_counts(words: DataFrame) -> np.ndarray:
     def added(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"p": [key[0]], "x": [pack({"n": sum(unpack(x)["n"] for x in part["x"])})]})
 
-    counts = np.zeros(size, np.float32)
-    for r in words.mapInPandas(run, "p int, x binary").groupBy("p").applyInPandas(added, "p int, x binary").collect():
-        counts[r["p"] * stretch : (r["p"] + 1) * stretch] = unpack(r["x"])["n"]
-    return counts
+    return {r["p"]: bytes(r["x"]) for r in words.mapInPandas(run, "p int, x binary").groupBy("p").applyInPandas(added, "p int, x binary").collect()}
 
 
 def fit(words: DataFrame) -> tuple:
-    """counts, weights and cells of the spelling, learned from all of words (word, c: its weight)."""
+    """Broadcast bit counts, weights and cells of the spelling, learned from all of words (word, c: its weight)."""
     spark = words.sparkSession
     counts = bit_counts(words)
     sent = spark.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mixer, seen = Mixer(sent.value), 0.0
+        mixer, seen = Mixer(slots_of(sent.value)), 0.0
         for ws, c in blocks(batches):
             mixer.learn(ws, c)
             seen += float(c.sum())
@@ -475,7 +484,7 @@ def spelled(found: DataFrame, model: tuple) -> DataFrame:
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         words = parted(unpack(part.loc[part["kind"] == "unknown", "x"].iloc[0]))
-        mixer = Mixer(sent.value, weights, cells)
+        mixer = Mixer(slots_of(sent.value), weights, cells)
         costs = np.concatenate([np.zeros(0), *(mixer.log10(words[a : a + BLOCK]) for a in range(0, len(words), BLOCK))])
         mine = part[part["kind"] == "places"]
         return rows_of([("spelled", chunk, key[0], costs[unpack(x)["rank"]].tobytes()) for chunk, x in zip(mine["chunk"], mine["x"], strict=True)])
@@ -527,6 +536,7 @@ def score(docs: DataFrame, held_out, text: str = "text", doc_id: str = "doc_id")
         clean_shuffles(spark)
         spelling = fit(found.filter("kind = 'known'").select("x").mapInPandas(known, "word binary, c long"))
         spellings = materialize(spelled(found, spelling), "spelled", keep=True)
+        spelling[0].destroy()
     model = fit_words(made, total, distinct, ones)
     clean_shuffles(spark)
     shares = materialize(triple_scores(made, model, total, distinct, ones), "shares")
