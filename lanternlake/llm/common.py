@@ -38,23 +38,26 @@ def _local_dir() -> str:
     return "file://" + tempfile.mkdtemp(prefix="lanternlake-")
 
 
-#: The scratch() blocks that are open in this context, innermost last: paths that materialize() wrote, and most files of a table.
-_open: contextvars.ContextVar[tuple[tuple[list[str], int | None], ...]] = contextvars.ContextVar("scratch", default=())
+#: The scratch() blocks that are open in this context, innermost last: paths to delete, most files of a table, paths written within.
+_open: contextvars.ContextVar[tuple[tuple[list[str], int | None, list[str]], ...]] = contextvars.ContextVar("scratch", default=())
 
 
-def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False, by: str | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: cuts lineage, and lost executors only cost a re-read.
 
-    The innermost scratch() block deletes it at its end; keep: the next outer one does, if there is any.
+    The innermost scratch() block deletes it at its end; keep: the next outer one does, if there is any.  by: a column whose values
+    have folders of their own, so that reading or dropping one doesn't touch the others.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lanternlake/{name}-{uuid.uuid4().hex}"
     blocks = _open.get()
     most = blocks[-1][1] if blocks else None
-    (df.coalesce(most) if most else df).write.parquet(path)
+    (df.coalesce(most) if most else df).write.partitionBy(*([by] if by else [])).parquet(path)
+    if blocks:
+        blocks[-1][2].append(path)
     if blocks := blocks[: -1 if keep else None]:
         blocks[-1][0].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def file_count(docs: DataFrame) -> int:
@@ -65,19 +68,30 @@ def file_count(docs: DataFrame) -> int:
 
 
 @contextlib.contextmanager
-def scratch(spark: SparkSession, files: int | None = None) -> Iterator[None]:
+def scratch(spark: SparkSession, files: int | None = None) -> Iterator[Callable[..., None]]:
     """What materialize() writes within the block is deleted at its end, and nothing else: for work whose result is written
-    (keep=True) before the block ends.  files: the most files that a table within is written as."""
+    (keep=True) before the block ends.  files: the most files that a table within is written as.
+
+    Yields drop(name, part=""), which deletes before that what was written as name (kept or not), or only its folder part, and
+    the shuffle files that nobody needs any more.
+    """
     paths: list[str] = []
-    token = _open.set((*_open.get(), (paths, files)))
+    written: list[str] = []
+    token = _open.set((*_open.get(), (paths, files, written)))
+
+    def delete(some: list[str]) -> None:
+        for path in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, some):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        clean_shuffles(spark)
+
+    def drop(name: str, part: str = "") -> None:
+        delete([f"{x}/{part}" if part else x for x in written if x.rpartition("/")[2].rpartition("-")[0] == name])
+
     try:
-        yield
+        yield drop
     finally:
         _open.reset(token)
-        jvm = spark.sparkContext._jvm
-        for path in map(jvm.org.apache.hadoop.fs.Path, paths):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        clean_shuffles(spark)
+        delete(paths)
 
 
 def clean_shuffles(spark: SparkSession) -> None:

@@ -12,9 +12,10 @@ Counts of words, pairs and triples of words are exact and complete, however many
    training texts, number them, and send back numbers and counts.
 2. Spelling: bit counts of all contexts, summed by slot over all distinct training words; mixer and map learn online over them.
    Only words that no training text has are spelled, each once.
-3. A chunk sends its distinct triples of words to buckets by the middle one, where all that follow a word meet.  In a first pass
-   mixer and map learn online, leaving one occurrence of the triple at hand out of the counts; the buckets' weights are averaged,
-   the maps' sums are added.  In a second pass the triples get their log10 probability and go back to their chunk.
+3. A chunk sends its distinct triples of words to buckets by the middle one, where all that follow a word meet, and are written
+   together.  In a first pass over them mixer and map learn online, leaving one occurrence of the triple at hand out of the
+   counts; the buckets' weights are averaged, the maps' sums are added.  In a second pass the triples get their log10 probability
+   and go back to their chunk.
 4. A chunk adds up its texts' words.
 
 Numbers of buckets follow the input's size and a word's number its spelling, so that neither reruns nor the dealing of texts over
@@ -26,6 +27,7 @@ their own; words of over SEGMENT bytes are spelled in stretches; with no trainin
 
 from __future__ import annotations
 
+import functools
 import pickle
 import zlib
 from collections import defaultdict
@@ -59,6 +61,8 @@ BLOCK, CHUNK = 50_000, 1 << 19
 WORD_BYTES, TRIPLE_BYTES = 22, 24
 #: log2 of the training words for one bucket of triples, where these ask for more buckets.
 TRIPLE_WORDS = 19
+#: Parts in which triples meet, so that only one part's shuffle is on disk beside them.
+ROUNDS = 2
 #: Numbers of what stands before a text, and of words that no training text has; the others follow.
 START, UNKNOWN, FIRST = 0, 1, 2
 MAP_SHARE = np.float32(0.5)
@@ -141,13 +145,13 @@ class Mixer:
     def inputs(self, slots: list[np.ndarray], y: np.ndarray | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Logit and confidence of each predictor; with y, one occurrence of it is left out."""
         logits, levels = [], []
-        table = self.counts.reshape(-1, 2)
+        table = self.counts.view(np.uint64)  # both counts of a slot at once
+        own = None if y is None else np.stack([1 - y, y], 1).astype(np.float32)
         for s in slots:
-            pair = table[s]
-            n0, n1 = pair[:, 0], pair[:, 1]
-            if y is not None:
-                one = y.astype(np.float32)
-                n0, n1 = np.maximum(n0 - (1 - one), 0), np.maximum(n1 - one, 0)
+            pair = table[s].view(np.float32).reshape(-1, 2)
+            if own is not None:
+                pair = np.maximum(pair - own, 0)
+            n0, n1 = np.ascontiguousarray(pair.T)
             logits.append(np.log((n1 + LEAST) / (n0 + LEAST)))
             # the exponent of the evidence, out of the number's own bits
             levels.append(((n0 + n1).view(np.int32) >> 23).clip(126, 125 + CONFIDENCE) - 126)
@@ -393,6 +397,43 @@ def numbered(chunks: DataFrame, buckets: int) -> DataFrame:
     return chunks.filter("kind = 'words'").groupBy("bucket").applyInPandas(run, SCHEMA + ", n long, v long, ones long")
 
 
+def differences(a: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Whole numbers that don't fall but where new ones begin, as what they rise by, and themselves where new."""
+    out = np.diff(a, prepend=a[:1])
+    out[new] = a[new]
+    return out
+
+
+def summed(rises: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The numbers again that differences() was given."""
+    out, at = np.cumsum(rises), np.flatnonzero(new)
+    return out - np.repeat(out[at] - rises[at], np.diff(at, append=len(rises)))
+
+
+def begins(sizes: np.ndarray) -> np.ndarray:
+    """Where stretches of these sizes (from 1) begin."""
+    new = np.zeros(sizes.sum(), bool)
+    new[np.cumsum(sizes) - sizes] = True
+    return new
+
+
+def packed_triples(w1: np.ndarray, w2: np.ndarray, w: np.ndarray, n: np.ndarray, c: np.ndarray) -> bytes:
+    """Distinct triples in order of w1, w2, w, as rises, and c, which follows from w, once a w."""
+    w1, w2, w = (x.astype(np.int64) for x in (w1, w2, w))
+    new, new1, new2 = np.arange(len(w)) == 0, lm_words.changes(w1), lm_words.changes(w1, w2)
+    at = np.unique(w, return_index=True)[1]
+    return pack({"w1": differences(w1, new), "w2": differences(w2, new1), "w": differences(w, new2), "n": n, "c": c[at]})
+
+
+def unpacked_triples(x: bytes) -> list[np.ndarray]:
+    x = unpack(x)
+    w1 = summed(x["w1"], np.arange(len(x["w1"])) == 0)
+    w2 = summed(x["w2"], lm_words.changes(w1))
+    w = summed(x["w"], lm_words.changes(w1, w2))
+    c = x["c"][np.unique(w, return_inverse=True)[1]]
+    return [w1.astype(np.uint32), w2.astype(np.uint32), w.astype(np.uint32), x["n"], c]
+
+
 def triples(chunks: DataFrame, found: DataFrame, buckets: int, total: int, distinct: int) -> DataFrame:
     """Of each chunk its texts with all but the score ('texts') and, by bucket, its distinct triples ('triples')."""
 
@@ -430,66 +471,86 @@ def triples(chunks: DataFrame, found: DataFrame, buckets: int, total: int, disti
         out = [("texts", key[0], -1, pack(texts))]
         for b in np.flatnonzero(np.diff(ends)).tolist():
             i = first[by[ends[b] : ends[b + 1]]]
-            out.append(("triples", key[0], b, pack({"w1": w1[i], "w2": w2[i], "w": w[i], "n": n[by[ends[b] : ends[b + 1]]], "c": c[i]})))
+            out.append(("triples", key[0], b, packed_triples(w1[i], w2[i], w[i], n[by[ends[b] : ends[b + 1]]], c[i])))
         return rows_of(out)
 
     both = chunks.filter("kind = 'texts'").unionByName(found.filter("kind = 'counts'").select(*chunks.columns))
     return both.groupBy("chunk").applyInPandas(run, SCHEMA)
 
 
-def entries(blobs) -> tuple[list[np.ndarray], np.ndarray, list[int]]:
+def entries(blobs) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Distinct triples of a bucket, the places of all given ones, and how many each blob gave."""
-    kinds = {"w1": np.uint32, "w2": np.uint32, "w": np.uint32, "n": np.int64, "c": np.int64}
-    given = [{k: v.astype(kinds[k]) for k, v in unpack(x).items()} for x in blobs]
-    sizes = [len(g["w"]) for g in given]
-    return *lm_words.merged(*(np.concatenate([g.pop(k) for g in given]) for k in kinds)), sizes
+    given = [unpacked_triples(x) for x in blobs]
+    return *lm_words.merged(*map(np.concatenate, zip(*given, strict=True))), np.array([len(g[0]) for g in given])
 
 
-def fit_words(made: DataFrame, total: int, distinct: int, ones: int) -> tuple:
-    """Weights and cells of the mixing over words: learned by bucket, averaged by the buckets' counts."""
+TOGETHER = "bucket int, x binary, y binary"
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        mixer = lm_words.WordMixer(total, distinct, ones)
-        got = entries(part["x"])[0]
-        mixer.learn(got)
-        seen = float(got[3].sum())
-        return pd.DataFrame({"bucket": [key[0]], "seen": [seen], "x": [np.concatenate([mixer.weights, mixer.hits.reshape(-1), mixer.all.reshape(-1)]).tobytes()]})
-
-    weights, hits = lm_words.start_weights(), np.zeros((3 * lm_words.GATES, lm_words.CELLS))
-    tries, seen = hits.copy(), 0.0
-    learned = made.filter("kind = 'triples'").groupBy("bucket").applyInPandas(run, "bucket int, seen double, x binary")
-    summed = np.zeros(lm_words.SIZE)
-    for r in sorted(learned.filter("seen > 0").collect(), key=lambda r: r["bucket"]):
-        w, h, t = np.split(np.frombuffer(r["x"]), [lm_words.SIZE, lm_words.SIZE + hits.size])
-        summed, seen = summed + w * r["seen"], seen + r["seen"]
-        hits, tries = hits + h.reshape(hits.shape), tries + t.reshape(hits.shape)
-    return summed / seen if seen else weights, refined_cells(hits, tries)
-
-
-def triple_scores(made: DataFrame, model: tuple, total: int, distinct: int, ones: int) -> DataFrame:
-    """Of each chunk and bucket the triples' log10 shares ('shares')."""
+
+def together(made: DataFrame) -> DataFrame:
+    """Of each bucket its distinct triples (x) and the places of each chunk's among them (y)."""
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         got, place, sizes = entries(part["x"])
-        shares = lm_words.WordMixer(total, distinct, ones, *model).log10(got)[place].astype("<f4")
-        parts = np.split(shares, np.cumsum(sizes)[:-1])
-        return rows_of([("shares", chunk, key[0], p.tobytes()) for chunk, p in zip(part["chunk"], parts, strict=True)])
+        y = {"chunk": part["chunk"].to_numpy(np.int64), "size": sizes, "place": differences(place, begins(sizes))}
+        return pd.DataFrame({"bucket": [key[0]], "x": [packed_triples(*got)], "y": [pack(y)]})
+
+    return made.filter("kind = 'triples'").groupBy("bucket").applyInPandas(run, TOGETHER)
+
+
+def fit_words(met: DataFrame, total: int, distinct: int, ones: int) -> tuple:
+    """Weights and cells of the mixing over words: learned by bucket, averaged by the buckets' counts."""
+    shape = (3 * lm_words.GATES, lm_words.CELLS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        summed, seen = np.zeros(lm_words.SIZE + 2 * shape[0] * shape[1]), 0.0
+        for batch in batches:
+            for x in batch["x"]:
+                got = unpacked_triples(x)
+                if n := float(got[3].sum()):
+                    mixer = lm_words.WordMixer(total, distinct, ones)
+                    mixer.learn(got)
+                    summed += np.concatenate([mixer.weights * n, mixer.hits.reshape(-1), mixer.all.reshape(-1)])
+                    seen += n
+        if seen:
+            yield pd.DataFrame({"seen": [seen], "x": [summed.tobytes()]})
+
+    parts = met.select("x").mapInPandas(run, "seen double, x binary").collect()
+    if not parts:
+        return lm_words.start_weights(), refined_cells(np.zeros(shape), np.zeros(shape))
+    weights, hits, tries = np.split(sum(np.frombuffer(r["x"]) for r in parts), [lm_words.SIZE, lm_words.SIZE + shape[0] * shape[1]])
+    return weights / sum(r["seen"] for r in parts), refined_cells(hits.reshape(shape), tries.reshape(shape))
+
+
+def triple_scores(met: DataFrame, model: tuple, total: int, distinct: int, ones: int) -> DataFrame:
+    """Of each chunk and bucket the triples' log10 shares ('shares')."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for bucket, x, y in zip(batch["bucket"], batch["x"], batch["y"], strict=True):
+                shares = lm_words.WordMixer(total, distinct, ones, *model).log10(unpacked_triples(x)).astype("<f4").view("<u4")
+                y = unpack(y)
+                parts = np.split(shares[summed(y["place"], begins(y["size"]))], np.cumsum(y["size"])[:-1])
+                yield rows_of([("shares", chunk, bucket, pack({"share": p})) for chunk, p in zip(y["chunk"], parts, strict=True)])
 
-    return made.filter("kind = 'triples'").groupBy("bucket").applyInPandas(run, SCHEMA)
+    return met.mapInPandas(run, SCHEMA)
 
 
-def spelled(found: DataFrame, model: tuple) -> DataFrame:
+def spelled(found: DataFrame, model: tuple, tasks: int) -> DataFrame:
     """Of each chunk and bucket the log10 probabilities of its unknown words ('spelled')."""
     sent, weights, cells = model
+    mixers = []  # a task's own
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         words = parted(unpack(part.loc[part["kind"] == "unknown", "x"].iloc[0]))
-        mixer = Mixer(slots_of(sent.value), weights, cells)
-        costs = np.concatenate([np.zeros(0), *(mixer.log10(words[a : a + BLOCK]) for a in range(0, len(words), BLOCK))])
+        if words and not mixers:
+            mixers.append(Mixer(slots_of(sent.value), weights, cells))
+        costs = np.concatenate([np.zeros(0), *(mixers[0].log10(words[a : a + BLOCK]) for a in range(0, len(words), BLOCK))])
         mine = part[part["kind"] == "places"]
         return rows_of([("spelled", chunk, key[0], costs[unpack(x)["rank"]].tobytes()) for chunk, x in zip(mine["chunk"], mine["x"], strict=True)])
 
-    return found.filter("kind in ('unknown', 'places')").select("kind", "chunk", "bucket", "x").groupBy("bucket").applyInPandas(run, SCHEMA)
+    mine = found.filter("kind in ('unknown', 'places')").select("kind", "chunk", "bucket", "x")
+    return mine.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(run, SCHEMA)
 
 
 def text_scores(made: DataFrame, shares: DataFrame, spellings: DataFrame, total: int, id_type) -> DataFrame:
@@ -499,7 +560,7 @@ def text_scores(made: DataFrame, shares: DataFrame, spellings: DataFrame, total:
         part = part.sort_values("bucket")
         x = unpack(part.loc[part["kind"] == "texts", "x"].iloc[0])
         parts = {k: part.loc[part["kind"] == k, "x"] for k in ("shares", "spelled")}
-        share = np.concatenate([np.frombuffer(r, "<f4") for r in parts["shares"]]).astype(float)
+        share = np.concatenate([unpack(r)["share"].astype("<u4").view("<f4") for r in parts["shares"]]).astype(float)
         spelling = np.concatenate([np.zeros(0), *(np.frombuffer(r) for r in parts["spelled"])])
         length = x["length"]
         doc = np.repeat(np.arange(len(length)), length)
@@ -526,21 +587,27 @@ def score(docs: DataFrame, held_out, text: str = "text", doc_id: str = "doc_id")
                 for a in range(0, len(words), BLOCK):
                     yield pd.DataFrame({"word": words[a : a + BLOCK], "c": 1})
 
-    with scratch(spark):
-        chunks = materialize(chunked(docs, word_buckets), "chunks")
+    with scratch(spark) as drop:
+        chunks = materialize(chunked(docs, word_buckets), "chunks", by="kind")
         found = materialize(numbered(chunks, word_buckets), "words")
-        clean_shuffles(spark)
+        drop("chunks", "kind=words")
         total, distinct, ones = found.agg(*(F.coalesce(F.sum(k), F.lit(0)) for k in ("n", "v", "ones"))).first()
         triple_buckets = max(triple_buckets, total >> TRIPLE_WORDS)
-        made = materialize(triples(chunks, found, triple_buckets, total, distinct), "triples", keep=True)
-        clean_shuffles(spark)
+        made = materialize(triples(chunks, found, triple_buckets, total, distinct), "triples", keep=True, by="kind")
+        drop("chunks")
         spelling = fit(found.filter("kind = 'known'").select("x").mapInPandas(known, "word binary, c long"))
-        spellings = materialize(spelled(found, spelling), "spelled", keep=True)
+        tasks = max(spark.sparkContext.defaultParallelism, word_buckets >> 3)
+        spellings = materialize(spelled(found, spelling, tasks), "spelled", keep=True)
         spelling[0].destroy()
-    model = fit_words(made, total, distinct, ones)
-    clean_shuffles(spark)
-    shares = materialize(triple_scores(made, model, total, distinct, ones), "shares")
-    clean_shuffles(spark)
+        drop("words")
+        met = []
+        for k in range(ROUNDS):
+            met.append(materialize(together(made.filter(f"bucket % {ROUNDS} = {k}")), "met"))
+            clean_shuffles(spark)
+        met = functools.reduce(DataFrame.unionByName, met)
+        drop("triples", "kind=triples")
+        model = fit_words(met, total, distinct, ones)
+        shares = materialize(triple_scores(met, model, total, distinct, ones), "shares", keep=True)
     return text_scores(made, shares, spellings, total, id_type)
 
 

@@ -347,6 +347,28 @@ def test_lm_knows_the_order_of_words(spark):
         assert r["score"] == pytest.approx(got[r["doc_id"]]["score"], rel=1e-5)
 
 
+def test_lm_leaves_only_what_its_result_reads(spark, tmp_path, monkeypatch):
+    """Triples, chunks and words are off the disk before the result is read; what is left is read again, so it is whole."""
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    got = lm_scoring.op2_lm_scoring(spark, SF)
+    left = {p.name.rpartition("-")[0]: spark.read.parquet(str(p)) for p in (tmp_path / "lanternlake").iterdir()}
+    assert {r["kind"] for x in left.values() for r in x.select("kind").distinct().collect()} == {"texts", "shares", "spelled"}
+    assert got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_lm_packed_triples_come_back():
+    """Packed triples are the same again, and smaller than their columns."""
+    rnd = random.Random(6)
+    for n in (1, 2, 5000):
+        c = [0, 0, *(rnd.randint(1, 9**5) for _ in range(300))]
+        rows = sorted({(rnd.choice([0, 1, rnd.randint(2, 300)]), rnd.randint(0, 300), min(rnd.randint(1, 301), rnd.randint(1, 301))) for _ in range(n)})
+        w1, w2, w = np.array(rows).T
+        some = [w1, w2, w, np.array([rnd.randint(0, 3) for _ in rows]), np.array(c)[w]]
+        x = lm_scoring.packed_triples(*some)
+        assert all(np.array_equal(a, b) for a, b in zip(some, lm_scoring.unpacked_triples(x), strict=True))
+    assert len(x) < 0.8 * len(lm_scoring.pack(dict(zip(["w1", "w2", "w", "n", "c"], some, strict=True))))
+
+
 def test_classifier(spark):
     found = quality_classifier.op5_quality_classifier(spark, "/root/testdata/sf0.01")
     rows = found.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out").collect()
