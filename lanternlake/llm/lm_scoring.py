@@ -31,11 +31,12 @@ import functools
 import pickle
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,12 +58,14 @@ STEP, RATE = 16384, 0.1
 GATES, GATE_STEP = 5, 3
 #: Words spelled at once, and words of a chunk (more where one text has more).
 BLOCK, CHUNK = 50_000, 1 << 19
+#: Texts split at once.
+SLICE = 256
 #: log2 of the bytes of input for one bucket of words and of triples.
 WORD_BYTES, TRIPLE_BYTES = 22, 24
 #: log2 of the training words for one bucket of triples, where these ask for more buckets.
 TRIPLE_WORDS = 19
-#: Parts in which triples meet, so that only one part's shuffle is on disk beside them.
-ROUNDS = 2
+#: Parts in which triples are made and in which they meet, so that only one part's shuffle is on disk beside the tables.
+MAKE_ROUNDS, MEET_ROUNDS = 2, 2
 #: Numbers of what stands before a text, and of words that no training text has; the others follow.
 START, UNKNOWN, FIRST = 0, 1, 2
 MAP_SHARE = np.float32(0.5)
@@ -229,17 +232,17 @@ def unpack(x: bytes) -> dict:
     return {k: array(*v) if isinstance(v, tuple) else v for k, v in pickle.loads(pa.decompress(bytes(x[8:]), int.from_bytes(x[:8], "little"), "zstd")).items()}
 
 
-def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Words and counts, BLOCK at a time whatever the size of batches."""
-    words, counts = [], []
+def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[list[bytes]]:
+    """Words out of packed rows (x), BLOCK at a time whatever the size of rows."""
+    words = []
     for batch in batches:
-        words += [bytes(w) for w in batch["word"]]
-        counts.append(batch["c"].to_numpy(np.int64))
-        if len(words) >= BLOCK:
-            yield words, np.concatenate(counts)
-            words, counts = [], []
+        for x in batch["x"]:
+            words += parted(unpack(x))
+            while len(words) >= BLOCK:
+                yield words[:BLOCK]
+                del words[:BLOCK]
     if words:
-        yield words, np.concatenate(counts)
+        yield words
 
 
 #: Slots times two of a packed stretch of the table of bit counts.
@@ -255,13 +258,13 @@ def slots_of(stretches: dict[int, bytes]) -> np.ndarray:
 
 
 def bit_counts(words: DataFrame) -> dict[int, bytes]:
-    """Counts of all contexts over words (word, c): a table of fixed size, added up and fetched in packed stretches."""
+    """Counts of all contexts over words (packed in x): a table of fixed size, added up and fetched in packed stretches."""
     size, stretch = 2 * STARTS[-1], STRETCH
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(size, np.float32)
-        for ws, c in blocks(batches):
-            add_counts(ws, c, counts)
+        for ws in blocks(batches):
+            add_counts(ws, np.ones(len(ws)), counts)
         for a in range(0, size, stretch):
             if (part := counts[a : a + stretch]).any():
                 yield pd.DataFrame({"p": [a // stretch], "x": [pack({"n": part.astype(np.int64)})]})
@@ -273,16 +276,16 @@ def bit_counts(words: DataFrame) -> dict[int, bytes]:
 
 
 def fit(words: DataFrame) -> tuple:
-    """Broadcast bit counts, weights and cells of the spelling, learned from all of words (word, c: its weight)."""
+    """Broadcast bit counts, weights and cells of the spelling, learned from all of words (packed in x)."""
     spark = words.sparkSession
     counts = bit_counts(words)
     sent = spark.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mixer, seen = Mixer(slots_of(sent.value)), 0.0
-        for ws, c in blocks(batches):
-            mixer.learn(ws, c)
-            seen += float(c.sum())
+        for ws in blocks(batches):
+            mixer.learn(ws, np.ones(len(ws)))
+            seen += len(ws)
         w = mixer.weights.reshape(-1)
         keys = np.arange(len(w) + mixer.all.size)
         yield pd.DataFrame({"k": keys, "x": np.concatenate([w * seen, mixer.ones.reshape(-1)]), "n": np.concatenate([np.full(len(w), seen), mixer.all.reshape(-1)])})
@@ -319,48 +322,65 @@ def rows_of(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "chunk", "bucket", "x"])
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """tokens() of texts, one text's after the other's, and how many each has, its end included."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    found, owner = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+    some = pc.greater(pc.binary_length(found), 0)
+    return found.filter(some), np.bincount(owner[some.to_numpy(zero_copy_only=False)], minlength=len(texts)) + 1
+
+
 def chunked(docs: DataFrame, buckets: int) -> DataFrame:
     """docs (id, held_out, t): of each chunk its texts ('texts') and, by bucket, its distinct words ('words')."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chunk(number: int, rows: pa.Table, words: list[pa.Array], length: np.ndarray) -> pa.RecordBatch:
+        coded = pa.concat_arrays(words).dictionary_encode()
+        known = [*coded.dictionary.cast(pa.binary()).to_pylist(), b""]
+        places = np.full(length.sum(), len(known) - 1)
+        held = np.array(rows["held_out"].to_pylist(), bool)
+        inner = np.ones(len(places), bool)
+        inner[np.cumsum(length) - 1] = False
+        places[inner] = coded.indices.to_numpy()
+        count = np.bincount(places[np.repeat(~held, length)], minlength=len(known))
+        bucket = np.fromiter((zlib.crc32(w) % buckets for w in known), np.int64, len(known))
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        size = pc.binary_length(rows["t"]).to_numpy()
+        out = [("texts", number, -1, pack({"ids": rows["id"].to_pylist(), "held": held.astype(np.int64), "size": size, "length": length, "tok": places, "bucket": bucket}))]
+        for b in np.flatnonzero(np.diff(ends)).tolist():
+            mine = order[ends[b] : ends[b + 1]]
+            out.append(("words", number, b, pack({**joined([known[i] for i in mine.tolist()]), "count": count[mine]})))
+        return pa.RecordBatch.from_pandas(rows_of(out), pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("x", pa.binary())]), preserve_index=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        local, ids, held, size, length, tok = defaultdict(), [], [], [], [], []
-        local.default_factory = local.__len__
-
-        def flush() -> pd.DataFrame:
-            words = list(local)
-            places = np.concatenate(tok).astype(np.int64)
-            train = ~np.repeat(np.array(held, bool), length)
-            count = np.bincount(places[train], minlength=len(words))
-            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-            order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out = [("texts", number, -1, pack({"ids": list(ids), "held": np.array(held, np.int64), "size": np.array(size), "length": np.array(length), "tok": places, "bucket": bucket}))]
-            for b in np.flatnonzero(np.diff(ends)).tolist():
-                mine = order[ends[b] : ends[b + 1]]
-                out.append(("words", number, b, pack({**joined([words[i] for i in mine.tolist()]), "count": count[mine]})))
-            return rows_of(out)
-
-        waiting = 0
+        rows, words, lengths, waiting = [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            return chunk(number, pa.Table.from_batches(rows), words, np.concatenate(lengths))
+
         for batch in batches:
-            for i, h, t in zip(batch["id"], batch["held_out"], batch["t"], strict=True):
-                ws = tokens(t)
-                ws.append(b"")
-                tok.append(np.fromiter(map(local.__getitem__, ws), np.uint32, len(ws)))
-                ids.append(i)
-                held.append(h)
-                size.append(len(t.encode("utf-8", "surrogatepass")))
-                length.append(len(ws))
-                waiting += len(ws)
-                if waiting >= CHUNK:
-                    yield flush()
-                    number, waiting = number + 1, 0
-                    for x in (local, ids, held, size, length, tok):
-                        x.clear()
+            for a in range(0, len(batch), SLICE):
+                part = batch.slice(a, SLICE)
+                found, length = split(part["t"])
+                starts = np.concatenate([[0], np.cumsum(length - 1)])
+                a = 0
+                while a < len(part):
+                    # up to the text with which the chunk is full
+                    b = min(len(part), a + 1 + int(np.searchsorted(np.cumsum(length[a:]), CHUNK - waiting)))
+                    rows.append(part.slice(a, b - a))
+                    words.append(found.slice(starts[a], starts[b] - starts[a]))
+                    lengths.append(length[a:b])
+                    waiting, a = waiting + int(length[a:b].sum()), b
+                    if waiting >= CHUNK:
+                        yield flush()
+                        number, waiting = number + 1, 0
+                        for x in (rows, words, lengths):
+                            x.clear()
         if waiting:
             yield flush()
 
-    return docs.mapInPandas(run, SCHEMA)
+    return docs.mapInArrow(run, SCHEMA)
 
 
 def numbered(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -421,21 +441,34 @@ def packed_triples(w1: np.ndarray, w2: np.ndarray, w: np.ndarray, n: np.ndarray,
     """Distinct triples in order of w1, w2, w, as rises, and c, which follows from w, once a w."""
     w1, w2, w = (x.astype(np.int64) for x in (w1, w2, w))
     new, new1, new2 = np.arange(len(w)) == 0, lm_words.changes(w1), lm_words.changes(w1, w2)
-    at = np.unique(w, return_index=True)[1]
+    order = np.argsort(w)
+    at = order[lm_words.changes(w[order])]
     return pack({"w1": differences(w1, new), "w2": differences(w2, new1), "w": differences(w, new2), "n": n, "c": c[at]})
 
 
-def unpacked_triples(x: bytes) -> list[np.ndarray]:
+def triples_of(x: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+    """w1, w2, w and n of packed triples, and c of each w that they have, in order."""
     x = unpack(x)
-    w1 = summed(x["w1"], np.arange(len(x["w1"])) == 0)
-    w2 = summed(x["w2"], lm_words.changes(w1))
-    w = summed(x["w"], lm_words.changes(w1, w2))
-    c = x["c"][np.unique(w, return_inverse=True)[1]]
-    return [w1.astype(np.uint32), w2.astype(np.uint32), w.astype(np.uint32), x["n"], c]
+    w1 = summed(x["w1"], np.arange(len(x["w1"])) == 0).astype(np.uint32)
+    w2 = summed(x.pop("w2"), lm_words.changes(w1)).astype(np.uint32)
+    w = summed(x.pop("w"), lm_words.changes(w1, w2)).astype(np.uint32)
+    return [w1, w2, w, x["n"]], x["c"]
+
+
+def unpacked_triples(x: bytes) -> list[np.ndarray]:
+    some, c = triples_of(x)
+    w = some[2]
+    if int(w.max(initial=0)) < 8 * len(w):
+        seen = np.zeros(int(w.max()) + 1, bool)
+        seen[w] = True
+        place = (np.cumsum(seen, dtype=np.int32) - 1)[w]
+    else:
+        place = np.unique(w, return_inverse=True)[1]
+    return [*some, c[place]]
 
 
 def triples(chunks: DataFrame, found: DataFrame, buckets: int, total: int, distinct: int) -> DataFrame:
-    """Of each chunk its texts with all but the score ('texts') and, by bucket, its distinct triples ('triples')."""
+    """Of each chunk its texts with all but the score ('texts') and, by bucket, its distinct triples ('triples0' and so on, by round)."""
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         x = unpack(part.loc[part["kind"] == "texts", "x"].iloc[0])
@@ -471,7 +504,7 @@ def triples(chunks: DataFrame, found: DataFrame, buckets: int, total: int, disti
         out = [("texts", key[0], -1, pack(texts))]
         for b in np.flatnonzero(np.diff(ends)).tolist():
             i = first[by[ends[b] : ends[b + 1]]]
-            out.append(("triples", key[0], b, packed_triples(w1[i], w2[i], w[i], n[by[ends[b] : ends[b + 1]]], c[i])))
+            out.append((f"triples{b % MEET_ROUNDS}", key[0], b, packed_triples(w1[i], w2[i], w[i], n[by[ends[b] : ends[b + 1]]], c[i])))
         return rows_of(out)
 
     both = chunks.filter("kind = 'texts'").unionByName(found.filter("kind = 'counts'").select(*chunks.columns))
@@ -480,8 +513,19 @@ def triples(chunks: DataFrame, found: DataFrame, buckets: int, total: int, disti
 
 def entries(blobs) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Distinct triples of a bucket, the places of all given ones, and how many each blob gave."""
-    given = [unpacked_triples(x) for x in blobs]
-    return *lm_words.merged(*map(np.concatenate, zip(*given, strict=True))), np.array([len(g[0]) for g in given])
+    columns, words, counts = [[], [], [], []], [], []
+    for some, c in map(triples_of, blobs):
+        some[3] = some[3].astype(np.uint32)
+        for column, x in zip(columns, some, strict=True):
+            column.append(x)
+        words.append(np.unique(some[2]))
+        counts.append(c)
+    sizes = np.array([len(x) for x in columns[0]])
+    w1, w2, w, n = (np.concatenate(columns.pop(0)) for _ in range(4))
+    got, place = lm_words.merged(w1, w2, w, n, w)
+    kinds, at = np.unique(np.concatenate(words), return_index=True)
+    got[4] = np.concatenate(counts)[at][np.searchsorted(kinds, got[2])]
+    return got, place, sizes
 
 
 TOGETHER = "bucket int, x binary, y binary"
@@ -495,7 +539,7 @@ def together(made: DataFrame) -> DataFrame:
         y = {"chunk": part["chunk"].to_numpy(np.int64), "size": sizes, "place": differences(place, begins(sizes))}
         return pd.DataFrame({"bucket": [key[0]], "x": [packed_triples(*got)], "y": [pack(y)]})
 
-    return made.filter("kind = 'triples'").groupBy("bucket").applyInPandas(run, TOGETHER)
+    return made.groupBy("bucket").applyInPandas(run, TOGETHER)
 
 
 def fit_words(met: DataFrame, total: int, distinct: int, ones: int) -> tuple:
@@ -572,6 +616,15 @@ def text_scores(made: DataFrame, shares: DataFrame, spellings: DataFrame, total:
     return out.select(F.col("id").cast(id_type).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", F.when(F.col("n_bytes") > 0, -F.col("score") / F.lit(np.log10(2)) / F.col("n_bytes")).alias("bits_per_byte"))
 
 
+def in_rounds(n: int, table: Callable[[int], DataFrame]) -> DataFrame:
+    """Tables 0 to n - 1 as one; what one shuffled goes before the next is made."""
+    found = []
+    for k in range(n):
+        found.append(table(k))
+        clean_shuffles(found[0].sparkSession)
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def score(docs: DataFrame, held_out, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row a document; the model learns from those for which the Column held_out is false."""
     spark = docs.sparkSession
@@ -580,32 +633,31 @@ def score(docs: DataFrame, held_out, text: str = "text", doc_id: str = "doc_id")
     size = min(1 << 50, int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
     word_buckets, triple_buckets = (min(1 << 16, max(8, size >> b)) for b in (WORD_BYTES, TRIPLE_BYTES))
 
-    def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for x in batch["x"]:
-                words = parted(unpack(x))
-                for a in range(0, len(words), BLOCK):
-                    yield pd.DataFrame({"word": words[a : a + BLOCK], "c": 1})
-
     with scratch(spark) as drop:
         chunks = materialize(chunked(docs, word_buckets), "chunks", by="kind")
         found = materialize(numbered(chunks, word_buckets), "words")
         drop("chunks", "kind=words")
         total, distinct, ones = found.agg(*(F.coalesce(F.sum(k), F.lit(0)) for k in ("n", "v", "ones"))).first()
         triple_buckets = max(triple_buckets, total >> TRIPLE_WORDS)
-        made = materialize(triples(chunks, found, triple_buckets, total, distinct), "triples", keep=True, by="kind")
+
+        def make(k: int) -> DataFrame:
+            mine = f"chunk % {MAKE_ROUNDS} = {k}"
+            return materialize(triples(chunks.filter(mine), found.filter(mine), triple_buckets, total, distinct), "triples", keep=True, by="kind")
+
+        made = in_rounds(MAKE_ROUNDS, make)
         drop("chunks")
-        spelling = fit(found.filter("kind = 'known'").select("x").mapInPandas(known, "word binary, c long"))
+        spelling = fit(found.filter("kind = 'known'").select("x"))
         tasks = max(spark.sparkContext.defaultParallelism, word_buckets >> 3)
         spellings = materialize(spelled(found, spelling, tasks), "spelled", keep=True)
         spelling[0].destroy()
         drop("words")
-        met = []
-        for k in range(ROUNDS):
-            met.append(materialize(together(made.filter(f"bucket % {ROUNDS} = {k}")), "met"))
-            clean_shuffles(spark)
-        met = functools.reduce(DataFrame.unionByName, met)
-        drop("triples", "kind=triples")
+
+        def meet(k: int) -> DataFrame:
+            met = materialize(together(made.filter(f"kind = 'triples{k}'")), "met")
+            drop("triples", f"kind=triples{k}")
+            return met
+
+        met = in_rounds(MEET_ROUNDS, meet)
         model = fit_words(met, total, distinct, ones)
         shares = materialize(triple_scores(met, model, total, distinct, ones), "shares", keep=True)
     return text_scores(made, shares, spellings, total, id_type)

@@ -44,7 +44,7 @@ def merged(w1: np.ndarray, w2: np.ndarray, w: np.ndarray, n: np.ndarray, c: np.n
     place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(new) - 1
     first = order[at]
-    return [w1[first], w2[first], w[first], np.add.reduceat(n[order], at) if len(at) else n, c[first]], place
+    return [w1[first], w2[first], w[first], np.add.reduceat(n[order], at, dtype=np.int64) if len(at) else n, c[first]], place
 
 
 def steps(w1: np.ndarray) -> list[tuple[int, int]]:
@@ -75,8 +75,9 @@ class Contexts:
         new1, new2 = changes(w1), changes(w1, w2)
         self.starts, self.g2 = np.flatnonzero(new2), np.cumsum(new2) - 1
         self.g1 = np.cumsum(new1) - 1
-        order = np.lexsort((w, w1))
-        new = changes(w1[order], w[order])
+        key = self.g1.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64)
+        order = np.argsort(key)
+        new = changes(key[order])
         self.pair = np.empty(len(w), np.int64)
         self.pair[order] = np.cumsum(new) - 1
         first = order[np.flatnonzero(new)]

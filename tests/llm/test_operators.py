@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -351,11 +352,19 @@ def test_lm_leaves_only_what_its_result_reads(spark, tmp_path, monkeypatch):
     """Triples, chunks and words are off the disk before the result is read; what is left is read again, so it is whole."""
     monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
     got = lm_scoring.op2_lm_scoring(spark, SF)
-    left = {p.name.rpartition("-")[0]: spark.read.parquet(str(p)) for p in (tmp_path / "lanternlake").iterdir()}
-    assert {r["kind"] for x in left.values() for r in x.select("kind").distinct().collect()} == {"texts", "shares", "spelled"}
+    left = [spark.read.schema(lm_scoring.SCHEMA).parquet(str(p)) for p in (tmp_path / "lanternlake").iterdir()]
+    assert {r["kind"] for x in left for r in x.select("kind").distinct().collect()} == {"texts", "shares", "spelled"}
     assert got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
+def test_lm_split_is_tokens():
+    """Words split by Arrow are those of tokens(): six spaces part words, none is lost, other spaces and capitals stay."""
+    texts = ["", " ", "\na  B\t\x0b\x0cc\r ", "\x1c x\x85y \u00c9 z\u3000Q", "one", "\x00 \u00a0"]
+    found, length = lm_scoring.split(pa.array(texts))
+    assert [x.encode() for x in found.to_pylist()] == [w for t in texts for w in lm_scoring.tokens(t)]
+    assert length.tolist() == [len(lm_scoring.tokens(t)) + 1 for t in texts]
+
+
 def test_lm_packed_triples_come_back():
     """Packed triples are the same again, and smaller than their columns."""
     rnd = random.Random(6)
