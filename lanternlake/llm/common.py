@@ -52,12 +52,13 @@ def materialize(df: DataFrame, name: str, keep: bool = False, by: str | None = N
     path = f"{shared_dir(spark).rstrip('/')}/lanternlake/{name}-{uuid.uuid4().hex}"
     blocks = _open.get()
     most = blocks[-1][1] if blocks else None
-    (df.coalesce(most) if most else df).write.partitionBy(*([by] if by else [])).parquet(path)
+    (df.coalesce(most) if most else df).write.parquet(path, partitionBy=by)
     if blocks:
         blocks[-1][2].append(path)
     if blocks := blocks[: -1 if keep else None]:
         blocks[-1][0].append(path)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    found = spark.read.schema(df.schema).parquet(path)
+    return found.select(*df.columns) if by else found
 
 
 def file_count(docs: DataFrame) -> int:
