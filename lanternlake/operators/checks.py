@@ -118,10 +118,16 @@ def raw_hashtags(text: Column) -> Column:
 # ---------------------------------------------------------------------------------------------------- predictions and runs
 
 
-def mean_relations(predictions: DataFrame, labels: list[str], key: str = "post_id", threshold: float = 0.5) -> DataFrame:
-    """One row a key of several models' p_<label>: the mean, and re_<label> where it reaches the threshold."""
-    out = predictions.groupBy(key).agg(F.count(F.lit(1)).alias("n_models"), *[F.avg(f"p_{x}").alias(f"p_{x}") for x in labels])
-    return out.withColumns({f"re_{x}": (F.col(f"p_{x}") >= threshold).cast("int") for x in labels})
+def mean_relations(predictions: DataFrame, labels: list[str], key: str = "post_id", threshold: float = 0.5, order: str = "model") -> DataFrame:
+    """One row a key of several models' p_<label>: the mean, and re_<label> where it reaches the threshold.
+
+    A key's scores are added one after the other, in order: a mean that is the threshold itself falls to either side with the order
+    in which its parts are rounded.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    each = predictions.select(key, F.count(F.lit(1)).over(so_far).alias("n_models"), *[F.avg(f"p_{x}").over(so_far).alias(f"p_{x}") for x in labels], F.lead(F.lit(1)).over(w).alias("__more"))
+    return each.filter("__more IS NULL").drop("__more").withColumns({f"re_{x}": (F.col(f"p_{x}") >= threshold).cast("int") for x in labels})
 
 
 def prediction_stats(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -106,7 +106,7 @@ _P = ", ".join(f"avg(CAST((event_id * 13 + {29 * i}) % 101 AS DOUBLE) / 101) AS
 @query("ensemble_relations", f"WITH m AS (SELECT user_id, count(*) AS n_models, {_P} FROM events GROUP BY user_id) SELECT user_id, n_models, {', '.join(f'round(p{i}, 9) AS p_{x}, CAST(p{i} >= 0.5 AS INT) AS re_{x}' for i, x in enumerate(fixed.RE_LABELS))} FROM m")
 def ensemble_relations(spark, sf):
     p = {f"p_{x}": (F.col("event_id") * 13 + 29 * i) % 101 / F.lit(101.0) for i, x in enumerate(fixed.RE_LABELS)}
-    out = K.mean_relations(read(spark, sf, "events").select("user_id", *[v.alias(k) for k, v in p.items()]), fixed.RE_LABELS, "user_id")
+    out = K.mean_relations(read(spark, sf, "events").select("user_id", "event_id", *[v.alias(k) for k, v in p.items()]), fixed.RE_LABELS, "user_id", order="event_id")
     return out.withColumns({k: F.round(k, 9) for k in p})
 
 

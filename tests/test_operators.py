@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lanternlake.functions import fixed
 from lanternlake.functions import text as X
+from lanternlake.operators import checks as K
 from lanternlake.operators import rules as R
 from lanternlake.operators import spans as N
 from lanternlake.operators import split as S
@@ -193,3 +194,20 @@ def test_checks_raise(spark):
     assert [r["j"] for r in both] == ['{"k":"a","label":"normal"}', '{"k":"a","label":"odd"}', '{"k":"b","label":null}']
     tags = spark.createDataFrame([("#été #a_b #été x",)], "t string").select(checks.raw_hashtags(F.col("t"))).first()[0]
     assert tags == ["été", "a_b"]
+
+
+def test_means_at_the_threshold(spark):
+    rng, want, rows = random.Random(3), {}, []
+    for k in range(300):  # means of 1/2, whose parts are rounded: the sum depends on the order
+        half = [rng.randrange(101) for _ in range(5)]
+        scores = [x / 101 for x in half + [101 - x for x in half]]
+        rng.shuffle(scores)
+        total = 0.0
+        for m, p in enumerate(scores):
+            total += p
+            rows.append((k, m, p))
+        want[k] = (10, total / 10, int(total / 10 >= 0.5))
+    assert len({r for *_, r in want.values()}) == 2
+    rng.shuffle(rows)
+    out = K.mean_relations(spark.createDataFrame(rows, "post_id int, model int, p_A double").repartition(7), ["A"])
+    assert {r["post_id"]: (r["n_models"], r["p_A"], r["re_A"]) for r in out.collect()} == want
