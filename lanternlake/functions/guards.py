@@ -10,9 +10,6 @@ import re
 from re import _constants as K
 from re import _parser
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 #: Most texts that a part of a pattern is spelled out to, and the shortest part of a word that is looked for.
 MOST, SHORTEST = 300, 5
 #: A need is ("any", marks), ("all", needs) or ("one", needs).  A mark is a whole word, or "~" and a part of the text.
@@ -110,12 +107,6 @@ def _marks(need: Need | None) -> frozenset[str]:
     return need[1] if need[0] == "any" else frozenset().union(*map(_marks, need[1]))
 
 
-def _tree(tests: list[Column], join) -> Column:
-    while len(tests) > 1:  # balanced: plans of many tests stay shallow
-        tests = [join(tests[k], tests[k + 1]) if k + 1 < len(tests) else tests[k] for k in range(0, len(tests), 2)]
-    return tests[0]
-
-
 class Guards:
     """The needs of several patterns, by name."""
 
@@ -124,19 +115,3 @@ class Guards:
         marks = frozenset().union(*map(_marks, self.needs.values()))
         self.words = sorted(m for m in marks if m[0] != "~")
         self.parts = sorted(m for m in marks if m[0] == "~")
-
-    def present(self, plain: Column) -> Column:
-        """Marks that a text, as text.plain_words(), holds: array<string>."""
-        low = F.lower(plain)
-        words = F.filter(F.split(low, "[^a-z0-9_]+"), lambda w: w.isin(self.words))
-        return F.concat(words, F.array_compact(F.array(*[F.when(F.contains(low, F.lit(p[1:])), F.lit(p)) for p in self.parts]).cast("array<string>")))
-
-    def allow(self, present: Column, name: str) -> Column:
-        """False only where the pattern of that name is not found in the text."""
-
-        def test(need: Need) -> Column:
-            if need[0] == "any":
-                return F.arrays_overlap(present, F.array(*map(F.lit, sorted(need[1]))))
-            return _tree([test(n) for n in need[1]], (lambda a, b: a & b) if need[0] == "all" else (lambda a, b: a | b))
-
-        return F.lit(True) if self.needs[name] is None else test(self.needs[name])

@@ -11,6 +11,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from . import fixed
+from .search import ORGANISATION_HINT, WHITE  # noqa: F401
 
 FLAGS = "(?iuUd)"
 
@@ -21,11 +22,10 @@ def rx(pattern: str) -> str:
 
 
 def any_of(patterns: list[str]) -> str:
-    """One alternation for plain_words(): cheaper than a test for each pattern.  A word boundary that all begin with is tested
-    once a place."""
+    """One alternation: cheaper than a test for each pattern.  A word boundary that all begin with is tested once a place."""
     if all(p.startswith(r"\b") for p in patterns):
-        return plain_rx(r"\b(?:" + "|".join(f"(?:{p[2:]})" for p in patterns) + ")")
-    return plain_rx("|".join(f"(?:{p})" for p in patterns))
+        return r"\b(?:" + "|".join(f"(?:{p[2:]})" for p in patterns) + ")"
+    return "|".join(f"(?:{p})" for p in patterns)
 
 
 def plain_words(text: Column) -> Column:
@@ -51,9 +51,14 @@ def once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
 
 
+def unpacked(rows: DataFrame, packed: Column) -> DataFrame:
+    """rows with the fields of a struct as columns, behind a generator as in once(): the struct is computed once a row."""
+    return rows.withColumn("__packed", packed).select("*", F.inline(F.array("__packed"))).drop("__packed")
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(WHITE))
 
 
 def squeeze(text: Column) -> Column:
@@ -190,13 +195,6 @@ def crawl_text(text: Column) -> Column:
     return squeeze(F.translate(t, " ", " "))
 
 
-def legit_text(text: Column) -> Column:
-    """Normalised for the legitimate-post filter: dashes, spaces, runs of marks, then degrees."""
-    t = F.regexp_replace(F.lower(null_safe(text)), "[‐-–—]", "-")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), r"[!?.]{2,}", " ")
-    return strip(_replaced(t, fixed.DEGREES_B))
-
-
 def binary_label(value: Column) -> Column:
     """1 suspicious, 0 normal, null for all else."""
     s = F.lower(strip(value.cast("string")))
@@ -210,33 +208,6 @@ def number(value: Column) -> Column:
     return F.when(s == "true", 1.0).when(s.isin("false", "[]", "none", "", "nan"), 0.0).otherwise(s.try_cast("double"))
 
 
-def match_bounds(text: Column, pattern: str) -> Column:
-    """array<struct<s,e>> (from 0, end exclusive) of the matches of a pattern."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.filter(F.zip_with(found, gaps, lambda m, g: F.struct(F.length(m).alias("m"), F.length(g).alias("g"))), lambda x: x["m"].isNotNull())
-    zero = F.expr("struct(0 AS at, array_repeat(struct(0 AS s, 0 AS e), 0) AS out)")
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["g"]
-        return F.struct((s + x["m"]).alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), (s + x["m"]).alias("e"))).alias("out"))
-
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
-
-
-#: What texts that organisation_link() may be 1 for hold: each name has one of these, and there is a term.
-ORGANISATION_HINT = f"(?:universit|institute|hochschule|school|daad|tum|tuhh|bsbi|assist).*{fixed.PROGRAM_OR_OUTCOME}"
-
-
-def organisation_link(text: Column) -> Column:
-    """1 if a named organisation has a programme or outcome term within 120 characters.  The organisation's capitals match any
-    letter, as all patterns ignore case."""
-    t = squeeze(null_safe(text))
-    near = lambda x: F.substring(t, F.greatest(F.lit(0), x["s"] - fixed.ORGANISATION_WINDOW) + 1, x["e"] + fixed.ORGANISATION_WINDOW - F.greatest(F.lit(0), x["s"] - fixed.ORGANISATION_WINDOW))
-    named = rx(fixed.NAMED_ORGANISATION)
-    linked = F.exists(match_bounds(t, named), lambda x: near(x).rlike(rx(fixed.PROGRAM_OR_OUTCOME)))
-    return F.when(t.rlike(named), linked.cast("int")).otherwise(F.lit(0))
-
-
 def handle_of(url: Column) -> Column:
     """Account name in a profile link; null for other links and excluded names."""
     query = F.try_parse_url(url, F.lit("QUERY"), F.lit("q"))

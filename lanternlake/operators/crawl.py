@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed
+from ..functions import fixed, search
 from ..functions import text as X
 
 
 def looks_english(text: Column) -> Column:
     """At least 40 characters, three quarters of the letters ASCII, and a common word."""
-    letters, ascii_letters = F.length(F.regexp_replace(text, r"[^\p{L}]", "")), F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
-    return (F.length(X.strip(text)) >= fixed.ENGLISH_LENGTH) & (letters > 0) & (ascii_letters >= fixed.ENGLISH_SHARE * letters) & X.plain_words(F.lower(text)).rlike(X.plain_rx(fixed.ENGLISH_WORDS))
+    return search.english(text)
 
 
 #: Alternations that score_posts() and with_skip_reason() test.
@@ -20,10 +21,9 @@ TESTS = {f"hit_{g}": ps for g, (_, ps) in fixed.TRIGGERS.items()} | {"scope": fi
 SKIP_TESTS = {"relevant": [p for ps in fixed.LEGITIMATE.values() for p in ps], "excluded": fixed.EXCLUDED_CONTENT}
 
 
-def with_tests(rows: DataFrame, plain: Column, tests: dict[str, list[str]]) -> DataFrame:
-    """rows with a boolean column for each of tests: whether one of its patterns is found in plain (of plain_words())."""
-    out = X.once(rows, {"__plain": plain})
-    return X.once(out, {k: F.col("__plain").rlike(X.any_of(ps)) for k, ps in tests.items()}).drop("__plain")
+def with_tests(rows: DataFrame, text: Column, normal: Callable[[str], str], tests: dict[str, list[str]]) -> DataFrame:
+    """rows with english_like and a boolean column for each of tests: whether one of its patterns is found in normal(text)."""
+    return X.unpacked(rows, search.tests(text, normal, {k: X.any_of(ps) for k, ps in tests.items()}))
 
 
 def score_posts(posts: DataFrame, text: str = "caption_text") -> DataFrame:
@@ -31,12 +31,12 @@ def score_posts(posts: DataFrame, text: str = "caption_text") -> DataFrame:
 
     One alternation a group; each pattern runs once a row.
     """
-    out = with_tests(posts, X.plain_words(X.crawl_text(F.col(text))), TESTS)
+    out = with_tests(posts, F.col(text), search.crawl_text, TESTS)
     out = out.withColumns({f"hit_{g}": F.col(f"hit_{g}").cast("int") for g in fixed.TRIGGERS})
     score = sum((F.col(f"hit_{g}") * F.lit(float(w)) for g, (w, _) in fixed.TRIGGERS.items()), F.lit(0.0))
     groups = F.filter(F.array(*[F.when(F.col(f"hit_{g}") == 1, F.lit(g)) for g in fixed.TRIGGERS]), lambda g: g.isNotNull())
     out = out.withColumns({"score": F.round(score, 3), "groups": groups, "high_risk": F.greatest(*[F.col(f"hit_{g}") for g in fixed.HIGH_RISK]) == 1})
-    out = out.withColumns({"target_scope": F.col("scope") & ~F.col("bad"), "english_like": looks_english(F.col(text))})
+    out = out.withColumns({"target_scope": F.col("scope") & ~F.col("bad")})
     enough = (F.col("score") >= fixed.MIN_SCORE) & (F.size("groups") >= fixed.MIN_GROUPS)
     return out.withColumn("save_candidate", F.col("target_scope") & F.col("english_like") & (F.col("high_risk") | enough)).drop("scope", "bad")
 
@@ -65,9 +65,9 @@ def account_cap(*columns: str, default: int) -> Column:
 def with_skip_reason(posts: DataFrame, text: str, seen: Column, name: str = "reason") -> DataFrame:
     """posts with the first reason to skip a legitimate-account post, or null.  Patterns are tried last, and only where a word of
     theirs occurs."""
-    out = with_tests(posts, X.plain_words(X.legit_text(F.col(text))), SKIP_TESTS)
-    reason = F.when(seen, "existing").when(X.strip(X.null_safe(F.col(text))) == "", "no_caption").when(~looks_english(F.col(text)), "non_english").when(~F.col("relevant"), "irrelevant").when(F.col("excluded"), "excluded")
-    return X.once(out, {name: reason}).drop(*SKIP_TESTS)
+    out = with_tests(posts, F.col(text), search.legit_text, SKIP_TESTS)
+    reason = F.when(seen, "existing").when(X.strip(X.null_safe(F.col(text))) == "", "no_caption").when(~F.col("english_like"), "non_english").when(~F.col("relevant"), "irrelevant").when(F.col("excluded"), "excluded")
+    return X.once(out, {name: reason}).drop(*SKIP_TESTS, "english_like")
 
 
 def external_link(text: Column) -> Column:

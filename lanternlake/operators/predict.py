@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed
+from ..functions import fixed, search
 from ..functions import text as X
-from .rules import pattern_of
+from .rules import hits, pattern_of
 
 #: Labels that have a lexical rule.
 LEXICAL = [x for x in fixed.NER_LABELS if any(r == f"LEX_{x}" for r, *_ in fixed.RULES)]
@@ -19,26 +19,14 @@ LEXICAL = [x for x in fixed.NER_LABELS if any(r == f"LEX_{x}" for r, *_ in fixed
 
 def lexical_spans(text: Column) -> Column:
     """Matches of the labels' patterns, in order of start, end and label."""
-    plain = X.plain_words(text)  # of equal length, so bounds hold for the text itself
-
-    def of(label: str) -> Column:
-        p = X.plain_rx(pattern_of(f"LEX_{label}"))
-        span = lambda b: F.struct(b["s"].alias("start"), b["e"].alias("end"), F.substring(text, b["s"] + 1, b["e"] - b["s"]).alias("text"), F.lit(label).alias("label"), F.lit(1.0).alias("score"))
-        found = F.transform(X.match_bounds(plain, p), span)
-        return F.when(plain.rlike(p), found).otherwise(F.slice(found, 1, 0))
-
-    parts = [of(label) for label in LEXICAL]
-    keyed = F.transform(F.concat(*parts), lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s["label"].alias("c"), s.alias("s")))
-    return F.transform(F.array_sort(keyed), lambda k: k["s"])
+    return search.spans(text, {x: pattern_of(f"LEX_{x}") for x in LEXICAL})
 
 
 def lexical(rows: DataFrame, text: str) -> DataFrame:
     """rows with spans and p_<relation> from the rules."""
-    plain = X.plain_words(F.col(text))
-    rules = dict(zip(fixed.RE_LABELS, ("RULE_OUTCOME_GUARANTEED", "RULE_REQUIREMENT_WAIVED", "RULE_TESTIMONIAL_SUCCESS"), strict=False))
-    scores = {f"p_{x}": plain.rlike(X.plain_rx(pattern_of(r))).cast("double") for x, r in rules.items()}
-    scores[f"p_{fixed.RE_LABELS[3]}"] = X.organisation_link(F.col(text)).cast("double")
-    return X.once(rows, {"spans": lexical_spans(X.null_safe(F.col(text))), **scores})
+    rules = dict(zip(fixed.RE_LABELS, ("RULE_OUTCOME_GUARANTEED", "RULE_REQUIREMENT_WAIVED", "RULE_TESTIMONIAL_SUCCESS", "RULE_ORG_LINK"), strict=True))
+    both = rows.withColumns({"__spans": lexical_spans(F.col(text)), "__hits": hits(F.col(text), list(rules.values()))})
+    return X.once(both, {"spans": F.col("__spans"), **{f"p_{x}": F.col(f"__hits.{r}").cast("double") for x, r in rules.items()}}).drop("__spans", "__hits")
 
 
 def with_features(rows: DataFrame, key: str = "post_id") -> DataFrame:

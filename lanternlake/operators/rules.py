@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed, guards
+from ..functions import fixed, search
 from ..functions import text as X
 
 #: Rules that aren't one pattern of their own name.
@@ -29,16 +29,23 @@ def pattern_of(rule: str) -> str:
 DERIVED = {"RULE_DIRECT_OUTCOME_GUARANTEE": ["RULE_OUTCOME_GUARANTEED"], "LEX_PRESSURE_CUE": ["RULE_PRESSURE_STRONG", "RULE_PRESSURE_MEDIUM", "RULE_PRESSURE_WEAK"]}
 
 
+#: For flags only: a name's further words change nothing, as its last one is a name too.
+FURTHER_WORDS = r"(?:\s+[A-Z][A-Za-z]+){0,3}"
+#: What a match ends with.  It is looked for before the whole pattern, which may begin at any word.
+ENDS = {"RULE_TESTIMONIAL_SUCCESS": r"\b(?:secured|securing|received|receiving|got|achieved|obtained|was\s+admitted|were\s+admitted)\b.{0,100}\b(?:admissions?|visa\s+approval|student\s+visa|study\s+visa|scholarship|admit|offer\s+letter|acceptance\s+letter)\b"}
+
+
+def hits(text: Column, rules: list[str]) -> Column:
+    """Struct of 0/1 flags of rules that aren't derived.  Each pattern runs only on texts that hold the words it needs."""
+    patterns = {r: search.ORGANISATION_HINT if r == "RULE_ORG_LINK" else pattern_of(r).replace(FURTHER_WORDS, "") for r in rules}
+    return search.flags(text, patterns, ENDS, {"RULE_ORG_LINK": search.organisation_link} if "RULE_ORG_LINK" in rules else {})
+
+
 def rule_flags(rows: DataFrame, text: str, only: list[str] | None = None) -> DataFrame:
-    """rows with one 0/1 column a rule, or for each rule of only.  Patterns that two rules share run once, and each runs only on
-    texts that hold a word of it."""
+    """rows with one 0/1 column a rule, or for each rule of only.  Patterns that two rules share run once."""
     wanted = [r for r, *_ in fixed.RULES if only is None or r in only]
     tested = list(dict.fromkeys(x for r in wanted for x in DERIVED.get(r, [r])))
-    guard = guards.Guards({r: X.ORGANISATION_HINT if r == "RULE_ORG_LINK" else pattern_of(r) for r in tested})
-    rows = X.once(rows, {"__plain": X.plain_words(F.col(text))})
-    rows = X.once(rows, {"__present": guard.present(F.col("__plain"))})
-    own = lambda r: X.organisation_link(F.col(text)) if r == "RULE_ORG_LINK" else F.col("__plain").rlike(X.plain_rx(pattern_of(r))).cast("int")
-    out = X.once(rows, {r: F.when(guard.allow(F.col("__present"), r), own(r)).otherwise(0) for r in tested}).drop("__plain", "__present")
+    out = X.unpacked(rows, hits(F.col(text), tested))
     derived = {r: F.greatest(*DERIVED[r]) if len(DERIVED[r]) > 1 else F.col(DERIVED[r][0]) for r in wanted if r in DERIVED}
     return out.withColumns(derived).drop(*(x for x in tested if x not in wanted)) if derived else out
 

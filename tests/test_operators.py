@@ -211,3 +211,30 @@ def test_means_at_the_threshold(spark):
     rng.shuffle(rows)
     out = K.mean_relations(spark.createDataFrame(rows, "post_id int, model int, p_A double").repartition(7), ["A"])
     assert {r["post_id"]: (r["n_models"], r["p_A"], r["re_A"]) for r in out.collect()} == want
+
+
+def test_patterns_run_in_batches(spark):
+    """Rules, crawl tests and spans are found by one pass to Python, and as their patterns have it."""
+    from lanternlake.functions import search
+    from lanternlake.operators import crawl as C
+    from lanternlake.operators import predict as P
+
+    rnd = random.Random(5)
+    words = ["University", "of", "Berlin", "Uni-Assist", "uni assist", "the", "TU-Berlin", "School", "x/Hoch", "Institute", "x1", "IU International University", "SRH University", "costume", "a", "admission", "master", "B-C", ", ", "TUM", "no", "IELTS", "été", "received", "Top universities", "free tuition", "\n"]
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(1, 30))) for _ in range(400)] + ["", None]
+    named = re.compile(fixed.NAMED_ORGANISATION, re.I)
+    for t in filter(None, texts):
+        t = search.squeeze(t)
+        assert search.organisations(t) == [m.span() for m in named.finditer(t)], t
+    rows = spark.createDataFrame(list(enumerate(texts)), "ord int, t string").withColumn("caption_text", F.col("t"))
+    got = {r["ord"]: r["s"] for r in rows.select("ord", P.lexical_spans(F.col("t")).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        want = sorted((*m.span(), x) for x in P.LEXICAL for m in re.finditer(R.pattern_of(f"LEX_{x}"), t or "", re.I))
+        assert [(s["start"], s["end"], s["label"]) for s in got[i]] == want and all(s["text"] == t[s["start"] : s["end"]] for s in got[i])
+    flags = R.rule_flags(rows, "t", ["RULE_TESTIMONIAL_SUCCESS", "RULE_REQUIREMENT_WAIVED"])
+    for r in flags.collect():
+        for x in ("RULE_TESTIMONIAL_SUCCESS", "RULE_REQUIREMENT_WAIVED"):
+            assert r[x] == int(bool(re.search(R.pattern_of(x), r["t"] or "", re.I))), (x, r["t"])
+    for df in (flags, C.score_posts(rows), C.with_skip_reason(rows, "t", F.lit(False)), rows.select(P.lexical_spans(F.col("t")))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "RLIKE" not in plan and "regexp_extract_all" not in plan
