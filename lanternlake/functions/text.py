@@ -11,6 +11,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from . import fixed
+from .clean import clean_text, model_text  # noqa: F401
 from .search import ORGANISATION_HINT, WHITE  # noqa: F401
 
 FLAGS = "(?iuUd)"
@@ -96,45 +97,6 @@ def strip_ui(text: Column, compose: bool = True) -> Column:
     return F.when(t.endswith('".'), F.concat(F.regexp_replace(cut(2), r"(?U)\s+$", ""), F.lit("."))).when(t.endswith('"'), strip(cut(1))).otherwise(t)
 
 
-def escape_rx(text: Column) -> Column:
-    return F.regexp_replace(text, "([^A-Za-z0-9_])", r"\\$1")
-
-
-def strip_account(text: Column, account: Column, compose: bool = True) -> Column:
-    """Without 'account on date:' and 'account 15w' prefixes; the account's patterns are made by row, the generic one is fixed."""
-    t = strip(unify(text, compose))
-    name = F.lower(F.ltrim(F.trim(null_safe(account)), F.lit("@")))
-    # a row's pattern is only built where the text begins like it
-    starts = (name != "") & F.lower(F.ltrim(t, F.lit(" @"))).startswith(name)
-    head = F.concat(F.lit(FLAGS + r"^\s*@?"), escape_rx(name))
-    t = F.when(starts, strip(F.regexp_replace(t, F.concat(head, F.lit(fixed.ON_DATE)), F.lit("")))).otherwise(t)
-    t = F.when(starts, strip(F.regexp_replace(t, F.concat(head, F.lit(r"\s+" + fixed.AGE)), F.lit("")))).otherwise(t)
-    return strip(F.regexp_replace(t, rx(r"^\s*@?" + fixed.ANY_ACCOUNT + r"\s+" + fixed.AGE), ""))
-
-
-def clean_text(text: Column, account: Column, compose: bool = True) -> Column:
-    """The caption's core: no UI text, prefixes, links, mentions, hashtags, emoji; single spaces; no marks at the ends."""
-    t = strip_account(strip_ui(text, compose), account, compose=False)
-    t = strip(F.regexp_replace(t, rx(fixed.TRAILING_TAGS), ""))
-    for pattern in (rx(fixed.URL), fixed.MENTION, fixed.HASHTAG, "#", fixed.EMOJI, rx(fixed.UI_NOISE), r"(?U)\s*[|•·]+\s*", r"(?U)\s+"):
-        t = F.regexp_replace(t, pattern, " ")
-    t = F.regexp_replace(t, r"\s+([,.;:!?])", "$1")
-    return F.trim(t, F.lit(" \t\n\r\"'.,;:-–—"))
-
-
-def model_text(core: Column, tags: Column, link: Column, compose: bool = True) -> Column:
-    """Marked text for models; exact links and mentions are replaced by markers."""
-    t = F.regexp_replace(unify(core, compose), rx(fixed.URL), " [URL] ")
-    t = F.regexp_replace(F.regexp_replace(t, fixed.MENTION, " [MENTION] "), fixed.HASHTAG, " $1 ")
-    t = F.regexp_replace(t, fixed.EMOJI, " [EMOJI] ")
-    for m in ("URL", "MENTION", "EMOJI"):
-        t = F.regexp_replace(t, rf"(?:\[{m}\]\s*){{2,}}", f"[{m}] ")
-    t = squeeze(t)
-    parts = F.concat_ws(" ", F.when(t != "", F.concat(F.lit("[CAPTION] "), t)), F.when(tags != "", F.concat(F.lit("[HASHTAGS] "), tags)))
-    extra = F.when((strip(null_safe(link)) != "") & ~F.contains(parts, F.lit("[URL]")), F.lit("[EXTERNAL_LINK] [URL]"))
-    return F.concat_ws(" ", F.when(parts != "", parts), extra)
-
-
 def url_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(rx(fixed.URL)))
 

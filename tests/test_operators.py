@@ -238,3 +238,11 @@ def test_patterns_run_in_batches(spark):
     for df in (flags, C.score_posts(rows), C.with_skip_reason(rows, "t", F.lit(False)), rows.select(P.lexical_spans(F.col("t")))):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("ArrowEvalPython") == 1 and "RLIKE" not in plan and "regexp_extract_all" not in plan
+
+
+def test_cleaning_is_one_pass(spark):
+    rows = spark.createDataFrame([(' 47 likes, 1 comments - acct on May 5, 2023: "acct 15w Study ’now’ | see translation,  a b #x https://a.b　c".', "@acct", None)], "t string, a string, l string")
+    out = rows.select(X.clean_text(F.col("t"), F.col("a")).alias("c"), X.model_text(F.col("t"), F.lit("x"), F.col("l")).alias("m"))
+    assert out.first()["c"] == "Study 'now', a b c" and out.first()["m"].endswith("a b x [URL] c\". [HASHTAGS] x")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_replace" not in plan
