@@ -42,3 +42,15 @@ def running(rows: DataFrame, by: list[str], bucket: Column, order: list, sums: d
     inner = w.rangeBetween(Window.unboundedPreceding, 0) if ties else w.rowsBetween(Window.unboundedPreceding, 0)
     out = keyed.join(offsets, on).withColumns({k: F.col(f"__o_{k}") + F.sum(f"__v_{k}").over(inner) for k in sums})
     return out.select(*rows.columns, *sums, *totals.values())
+
+
+#: Bytes of a plan's estimate (of compressed columns) that one part of by_size() gets, and an estimate that is none.
+PART, UNKNOWN = 1 << 22, 1 << 50
+
+
+def by_size(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt over parts by keys, one for PART bytes of what they are estimated at; left alone where the session's shuffle
+    partitions are enough, or nothing is known of the size."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = min(1 << 14, size // PART)
+    return rows.repartition(parts, *keys) if size < UNKNOWN and parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows

@@ -246,3 +246,22 @@ def test_cleaning_is_one_pass(spark):
     assert out.first()["c"] == "Study 'now', a b c" and out.first()["m"].endswith("a b x [URL] c\". [HASHTAGS] x")
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "regexp_replace" not in plan
+
+
+def test_span_metrics_by_size(spark, tmp_path, monkeypatch):
+    """One grouping of both sides, in more parts for larger inputs; a span with a null is nobody's match."""
+    from lanternlake.operators import running
+
+    names = ["id", "start", "end", "label"]
+    gold = spark.createDataFrame([(1, 0, 3, "A"), (1, 0, 3, "A"), (1, 4, 6, "B"), (2, None, 3, "A")], "id int, start int, end int, label string")
+    predicted = spark.createDataFrame([(1, 0, 3, "A"), (1, 4, 7, "B"), (2, None, 3, "A")], "id int, start int, end int, label string")
+    want = {("A", 1, 1, 1), ("B", 0, 1, 1), ("MICRO", 1, 2, 2), ("MACRO", 1, 2, 2)}
+    gold.coalesce(1).write.parquet(f"file://{tmp_path}/g")
+    predicted.coalesce(1).write.parquet(f"file://{tmp_path}/p")
+    gold, predicted = (spark.read.parquet(f"file://{tmp_path}/{x}") for x in "gp")
+    for part in (running.PART, 100):
+        monkeypatch.setattr(running, "PART", part)
+        out = N.span_metrics(gold.select(*names), predicted.select(*names), "id")
+        assert {tuple(r)[:4] for r in out.collect()} == want
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and ("RepartitionByExpression" in plan) == (part == 100)
