@@ -30,7 +30,6 @@ from __future__ import annotations
 import functools
 import pickle
 import zlib
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -83,20 +82,18 @@ class Coded:
     """Words as rows of bytes, longest first; b"" stands for the end of a text."""
 
     def __init__(self, words: list[bytes]):
-        rows, owner, later = [], [], []
-        for i, w in enumerate(words):
-            w = w + bytes([CLOSE]) if w else bytes([END])
-            for a in range(0, len(w), SEGMENT):
-                rows.append(w[a : a + SEGMENT])
-                owner.append(i)
-                later.append(a > 0)
-        size = np.fromiter(map(len, rows), np.int64, len(rows))
+        flat = np.frombuffer(b"".join([w + b"%c" % (CLOSE if w else END) for w in words]), np.uint8)
+        long = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        parts = -(-long // SEGMENT)
+        owner = np.repeat(np.arange(len(words)), parts)
+        part = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+        size = np.minimum(long[owner] - part * SEGMENT, SEGMENT)
         order = np.argsort(-size, kind="stable")
-        self.size, self.owner, self.n = size[order], np.asarray(owner, np.int64)[order], len(words)
-        self.later = np.asarray(later, np.uint64)[order]
-        wide = int(size.max()) if len(rows) else 0
-        flat = np.frombuffer(b"".join(r.ljust(wide, b"\0") for r in rows), np.uint8).reshape(len(rows), wide)
-        self.bytes = flat[order]
+        self.size, self.owner, self.n = size[order], owner[order], len(words)
+        self.later = (part[order] > 0).astype(np.uint64)
+        rows = np.zeros((len(size), int(size.max(initial=0))), np.uint8)
+        rows[np.arange(rows.shape[1]) < size[:, None]] = flat
+        self.bytes = rows[order]
 
     def steps(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
         """For each bit: rows in it, partial byte, bit, slot by order."""
@@ -112,9 +109,9 @@ class Coded:
             part = np.ones(m, np.uint64)
             for bit in range(7, -1, -1):
                 y = now >> np.uint64(bit) & np.uint64(1)
-                slots = []
+                slots, tail = [], part * np.uint64(0xD6E8FEB86659FD93)
                 for k, h in enumerate(heads):
-                    s = (h + part * np.uint64(0xD6E8FEB86659FD93)) * MIX
+                    s = (h + tail) * MIX
                     slots.append((s >> np.uint64(64 - SLOT_BITS[k])).astype(np.int64) + STARTS[k])
                 yield m, part, y.astype(np.int64), slots
                 part = part << np.uint64(1) | y
@@ -149,15 +146,15 @@ class Mixer:
         """Logit and confidence of each predictor; with y, one occurrence of it is left out."""
         logits, levels = [], []
         table = self.counts.view(np.uint64)  # both counts of a slot at once
-        own = None if y is None else np.stack([1 - y, y], 1).astype(np.float32)
+        own = [] if y is None else [(1 - y).astype(np.float32), y.astype(np.float32)]
         for s in slots:
-            pair = table[s].view(np.float32).reshape(-1, 2)
-            if own is not None:
-                pair = np.maximum(pair - own, 0)
-            n0, n1 = np.ascontiguousarray(pair.T)
+            pair = table.take(s).view(np.float32)
+            n0, n1 = pair[::2], pair[1::2]
+            if own:
+                n0, n1 = np.maximum(n0 - own[0], 0), np.maximum(n1 - own[1], 0)
             logits.append(np.log((n1 + LEAST) / (n0 + LEAST)))
             # the exponent of the evidence, out of the number's own bits
-            levels.append(((n0 + n1).view(np.int32) >> 23).clip(126, 125 + CONFIDENCE) - 126)
+            levels.append(np.minimum(np.maximum((n0 + n1).view(np.int32) >> 23, 126), 125 + CONFIDENCE) - 126)
         gate = np.minimum(levels[-1] // GATE_STEP, GATES - 1) * CONFIDENCE
         return logits, [x + gate for x in levels]
 
@@ -165,7 +162,7 @@ class Mixer:
         out = np.zeros(len(logits[0]), np.float32)
         weights = self.weights.astype(np.float32)
         for k, (x, c) in enumerate(zip(logits, levels, strict=True)):
-            out += weights[k][c] * x
+            out += weights[k].take(c) * x
         return np.clip(out, -16, 16)
 
     def learn(self, words: list[bytes], times: np.ndarray) -> None:
@@ -218,7 +215,7 @@ def pack(columns: dict) -> bytes:
 
     def planes(a: np.ndarray) -> tuple[str, bytes]:
         a = np.ascontiguousarray(a, np.min_scalar_type(int(a.max()) if len(a) else 0))
-        return a.dtype.str, a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+        return a.dtype.str, b"".join([a.view(np.uint8)[k :: a.itemsize].tobytes() for k in range(a.itemsize)])
 
     flat = pickle.dumps({k: planes(v) if isinstance(v, np.ndarray) else v for k, v in columns.items()})
     return len(flat).to_bytes(8, "little") + pa.compress(flat, "zstd", asbytes=True)
@@ -226,8 +223,11 @@ def pack(columns: dict) -> bytes:
 
 def unpack(x: bytes) -> dict:
     def array(kind: str, flat: bytes) -> np.ndarray:
-        kind = np.dtype(kind)
-        return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(kind.itemsize, -1).T).view(kind).reshape(-1).astype(np.int64)
+        size = np.dtype(kind).itemsize
+        whole = np.empty(len(flat), np.uint8)
+        for k, plane in enumerate(np.frombuffer(flat, np.uint8).reshape(size, -1)):
+            whole[k::size] = plane
+        return whole.view(kind).astype(np.int64)
 
     return {k: array(*v) if isinstance(v, tuple) else v for k, v in pickle.loads(pa.decompress(bytes(x[8:]), int.from_bytes(x[:8], "little"), "zstd")).items()}
 
@@ -305,8 +305,23 @@ def fit(words: DataFrame) -> tuple:
 # ---------------------------------------------------------------------------------------------------- texts, on tables
 
 
-def joined(words: list[bytes]) -> dict:
-    return {"size": np.fromiter(map(len, words), np.int64, len(words)), "flat": b"".join(words)}
+def joined(words: pa.Array) -> dict:
+    """Words (large_binary) as their sizes and bytes."""
+    at, flat = bounds(words)
+    return {"size": np.diff(at), "flat": flat[at[0] : at[-1]].tobytes()}
+
+
+def bounds(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where words (large_binary) begin and end, and the bytes in which they do."""
+    _, at, flat = words.buffers()
+    at = np.zeros(1, np.int64) if not len(words) else np.frombuffer(at, np.int64)[words.offset : words.offset + len(words) + 1]
+    return at, np.frombuffer(flat or b"", np.uint8)
+
+
+def arrayed(x: dict) -> pa.Array:
+    """The words (large_binary) again that joined() was given."""
+    at = np.concatenate([np.zeros(1, np.int64), np.cumsum(x["size"])])
+    return pa.Array.from_buffers(pa.large_binary(), len(x["size"]), [None, pa.py_buffer(at), pa.py_buffer(x["flat"])])
 
 
 def parted(x: dict) -> list[bytes]:
@@ -315,6 +330,36 @@ def parted(x: dict) -> list[bytes]:
     return [flat[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+CRC = _crc_table()
+
+
+def crcs(words: pa.Array) -> np.ndarray:
+    """zlib.crc32 of words (large_binary): a byte of all of them at a time, but for the few that are over SEGMENT bytes."""
+    at, flat = bounds(words)
+    size = np.diff(at)
+    order = np.argsort(-size)
+    starts, sizes = at[:-1][order], size[order]
+    found = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    few = int(np.searchsorted(-sizes, -SEGMENT))
+    for j in range(int(sizes[few:].max(initial=0))):
+        end = few + int(np.searchsorted(-sizes[few:], -j))
+        crc = found[few:end]
+        crc[:] = CRC.take(crc & np.uint32(255) ^ flat.take(starts[few:end] + j)) ^ crc >> np.uint32(8)
+    found ^= np.uint32(0xFFFFFFFF)
+    for k in range(few):
+        found[k] = zlib.crc32(flat[starts[k] : starts[k] + sizes[k]])
+    out = np.empty_like(found)
+    out[order] = found
+    return out
+
+
 SCHEMA = "kind string, chunk long, bucket int, x binary"
 
 
@@ -330,26 +375,31 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return found.filter(some), np.bincount(owner[some.to_numpy(zero_copy_only=False)], minlength=len(texts)) + 1
 
 
+def dealt(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by bucket, in their order within one, and where each bucket begins and ends."""
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+
+
 def chunked(docs: DataFrame, buckets: int) -> DataFrame:
     """docs (id, held_out, t): of each chunk its texts ('texts') and, by bucket, its distinct words ('words')."""
 
     def chunk(number: int, rows: pa.Table, words: list[pa.Array], length: np.ndarray) -> pa.RecordBatch:
         coded = pa.concat_arrays(words).dictionary_encode()
-        known = [*coded.dictionary.cast(pa.binary()).to_pylist(), b""]
+        known = pa.concat_arrays([coded.dictionary.cast(pa.large_binary()), pa.array([b""], pa.large_binary())])
         places = np.full(length.sum(), len(known) - 1)
         held = np.array(rows["held_out"].to_pylist(), bool)
         inner = np.ones(len(places), bool)
         inner[np.cumsum(length) - 1] = False
         places[inner] = coded.indices.to_numpy()
         count = np.bincount(places[np.repeat(~held, length)], minlength=len(known))
-        bucket = np.fromiter((zlib.crc32(w) % buckets for w in known), np.int64, len(known))
-        order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        bucket = crcs(known).astype(np.int64) % buckets
+        order, ends = dealt(bucket, buckets)
+        known, count = known.take(pa.array(order)), count[order]
         size = pc.binary_length(rows["t"]).to_numpy()
         out = [("texts", number, -1, pack({"ids": rows["id"].to_pylist(), "held": held.astype(np.int64), "size": size, "length": length, "tok": places, "bucket": bucket}))]
         for b in np.flatnonzero(np.diff(ends)).tolist():
-            mine = order[ends[b] : ends[b + 1]]
-            out.append(("words", number, b, pack({**joined([known[i] for i in mine.tolist()]), "count": count[mine]})))
+            out.append(("words", number, b, pack({**joined(known.slice(ends[b], ends[b + 1] - ends[b])), "count": count[ends[b] : ends[b + 1]]})))
         return pa.RecordBatch.from_pandas(rows_of(out), pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("x", pa.binary())]), preserve_index=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,28 +438,24 @@ def numbered(chunks: DataFrame, buckets: int) -> DataFrame:
     its known words ('known', with n: their count, v: how many, ones: how many that occur once) and unknown ones ('unknown')."""
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        found = defaultdict()
-        found.default_factory = found.__len__
-        places, counts = [], []
-        for x in map(unpack, part["x"]):
-            places.append(np.fromiter(map(found.__getitem__, parted(x)), np.int64, len(x["size"])))
-            counts.append(x["count"])
-        words = list(found)
+        given = [unpack(x) for x in part["x"]]
+        coded = pa.concat_arrays([arrayed(x) for x in given]).dictionary_encode()
+        words, sizes = coded.dictionary, [len(x["size"]) for x in given]
+        places, counts = coded.indices.to_numpy(), np.concatenate([x["count"] for x in given])
         total = np.zeros(len(words), np.int64)
-        for p, c in zip(places, counts, strict=True):
-            total[p] += c
-        known = sorted(np.flatnonzero(total > 0).tolist(), key=lambda i: (-total[i], words[i]))
-        unknown = sorted(np.flatnonzero(total == 0).tolist(), key=words.__getitem__)
+        np.add.at(total, places, counts)
+        known = pc.sort_indices(pa.table({"n": total, "w": words}), [("n", "descending"), ("w", "ascending")]).to_numpy()
+        known, unknown = np.split(known, [int((total > 0).sum())])
         number = np.full(len(words), UNKNOWN, np.int64)
         number[known] = FIRST + key[0] + buckets * np.arange(len(known))
         rank = np.zeros(len(words), np.int64)
         rank[unknown] = np.arange(len(unknown))
         out = []
-        for chunk, p in zip(part["chunk"], places, strict=True):
+        for chunk, p in zip(part["chunk"], np.split(places, np.cumsum(sizes)[:-1]), strict=True):
             out.append(("counts", chunk, key[0], pack({"number": number[p], "count": total[p]})))
             out.append(("places", chunk, key[0], pack({"rank": rank[p[total[p] == 0]]})))
-        out.append(("known", -1, key[0], pack(joined([words[i] for i in known]))))
-        out.append(("unknown", -1, key[0], pack(joined([words[i] for i in unknown]))))
+        out.append(("known", -1, key[0], pack(joined(words.take(pa.array(known))))))
+        out.append(("unknown", -1, key[0], pack(joined(words.take(pa.array(unknown))))))
         got = rows_of(out).assign(n=0, v=0, ones=0)
         got.loc[got["kind"] == "known", ["n", "v", "ones"]] = [int(total.sum()), len(known), int((total == 1).sum())]
         return got
@@ -441,9 +487,7 @@ def packed_triples(w1: np.ndarray, w2: np.ndarray, w: np.ndarray, n: np.ndarray,
     """Distinct triples in order of w1, w2, w, as rises, and c, which follows from w, once a w."""
     w1, w2, w = (x.astype(np.int64) for x in (w1, w2, w))
     new, new1, new2 = np.arange(len(w)) == 0, lm_words.changes(w1), lm_words.changes(w1, w2)
-    order = np.argsort(w)
-    at = order[lm_words.changes(w[order])]
-    return pack({"w1": differences(w1, new), "w2": differences(w2, new1), "w": differences(w, new2), "n": n, "c": c[at]})
+    return pack({"w1": differences(w1, new), "w2": differences(w2, new1), "w": differences(w, new2), "n": n, "c": lm_words.looked_up(w, c, lm_words.kinds_of(w.astype(np.uint32)))})
 
 
 def triples_of(x: bytes) -> tuple[list[np.ndarray], np.ndarray]:
@@ -457,14 +501,7 @@ def triples_of(x: bytes) -> tuple[list[np.ndarray], np.ndarray]:
 
 def unpacked_triples(x: bytes) -> list[np.ndarray]:
     some, c = triples_of(x)
-    w = some[2]
-    if int(w.max(initial=0)) < 8 * len(w):
-        seen = np.zeros(int(w.max()) + 1, bool)
-        seen[w] = True
-        place = (np.cumsum(seen, dtype=np.int32) - 1)[w]
-    else:
-        place = np.unique(w, return_inverse=True)[1]
-    return [*some, c[place]]
+    return [*some, lm_words.looked_up(lm_words.kinds_of(some[2]), c, some[2])]
 
 
 def triples(chunks: DataFrame, found: DataFrame, buckets: int, total: int, distinct: int) -> DataFrame:
@@ -482,29 +519,32 @@ def triples(chunks: DataFrame, found: DataFrame, buckets: int, total: int, disti
         length, tok = x["length"], x["tok"]
         doc = np.repeat(np.arange(len(length)), length)
         starts = np.cumsum(length) - length
-        w, c = number[tok].astype(np.uint64), count[tok]
+        # words by their place among the chunk's numbers, START the first
+        kinds = lm_words.kinds_of(np.append(number, START))
+        w = lm_words.looked_up(kinds, np.arange(len(kinds)), number)[tok]
         w1 = np.concatenate([w[:1], w[:-1]])
-        w1[starts] = START
+        w1[starts] = 0
         w2 = np.concatenate([w1[:1], w1[:-1]])
-        w2[starts] = START
-        _, pair = np.unique(w1 << np.uint64(32) | w2, return_inverse=True)
-        _, first, place = np.unique(pair.astype(np.uint64) << np.uint64(32) | w, return_index=True, return_inverse=True)
+        w2[starts] = 0
+        order, new = lm_words.ordered(w1, w2, w)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        first = order[new]
         n = np.bincount(place, ~x["held"].astype(bool)[doc], len(first)).astype(np.int64)
         # nothing follows an unknown word in training texts: such triples need not meet
-        dealt = np.where(w1[first] == UNKNOWN, w[first], w1[first]) * MIX >> np.uint64(32)
-        bucket = (dealt % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[by], np.arange(buckets + 1))
+        w1, w2, w, c = kinds[w1[first]], kinds[w2[first]], kinds[w[first]], count[tok[first]]
+        middle = np.where(w1 == UNKNOWN, w, w1).astype(np.uint64) * MIX >> np.uint64(32)
+        by, ends = dealt((middle % np.uint64(buckets)).astype(np.int64), buckets)
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by))
-        base = np.bincount(doc, np.log10((c + 0.5) / (total + 0.5 * (distinct + 1))), len(length))
-        some = c == 0
+        w1, w2, w, n, c = (v[by] for v in (w1, w2, w, n, c))
+        base = np.bincount(doc, np.log10((count + 0.5) / (total + 0.5 * (distinct + 1)))[tok], len(length))
+        some = (count == 0)[tok]
         known = np.bincount(doc[~some], minlength=len(length))
         texts = {"ids": x["ids"], "held": x["held"], "size": x["size"], "length": length, "known": known, "base": base.tolist(), "place": rank[place], "doc": doc[some], "unknown": unknown[tok[some]]}
         out = [("texts", key[0], -1, pack(texts))]
         for b in np.flatnonzero(np.diff(ends)).tolist():
-            i = first[by[ends[b] : ends[b + 1]]]
-            out.append((f"triples{b % MEET_ROUNDS}", key[0], b, packed_triples(w1[i], w2[i], w[i], n[by[ends[b] : ends[b + 1]]], c[i])))
+            out.append((f"triples{b % MEET_ROUNDS}", key[0], b, packed_triples(*(v[ends[b] : ends[b + 1]] for v in (w1, w2, w, n, c)))))
         return rows_of(out)
 
     both = chunks.filter("kind = 'texts'").unionByName(found.filter("kind = 'counts'").select(*chunks.columns))
@@ -518,13 +558,12 @@ def entries(blobs) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         some[3] = some[3].astype(np.uint32)
         for column, x in zip(columns, some, strict=True):
             column.append(x)
-        words.append(np.unique(some[2]))
+        words.append(lm_words.kinds_of(some[2]))
         counts.append(c)
     sizes = np.array([len(x) for x in columns[0]])
     w1, w2, w, n = (np.concatenate(columns.pop(0)) for _ in range(4))
     got, place = lm_words.merged(w1, w2, w, n, w)
-    kinds, at = np.unique(np.concatenate(words), return_index=True)
-    got[4] = np.concatenate(counts)[at][np.searchsorted(kinds, got[2])]
+    got[4] = lm_words.looked_up(np.concatenate(words), np.concatenate(counts), got[2])
     return got, place, sizes
 
 

@@ -1,6 +1,7 @@
 """The operators against brute force, and their defined results for odd input."""
 
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -365,6 +366,90 @@ def test_lm_split_is_tokens():
     assert length.tolist() == [len(lm_scoring.tokens(t)) + 1 for t in texts]
 
 
+def test_lm_calls_dont_grow_with_words(monkeypatch):
+    """Chunks, numbers and spelling handle words as arrays: with 20 times the words there are as many calls from Python."""
+    import cProfile
+
+    class Table:  # hands out what it is given to run
+        columns = ()
+
+        def __getattr__(self, name):
+            return (lambda run, schema: run) if name.startswith(("map", "apply")) else lambda *_: self
+
+    class Task:
+        get = classmethod(lambda cls: cls)
+        partitionId = staticmethod(lambda: 0)
+
+    def calls(work):
+        profile = cProfile.Profile()
+        out = profile.runcall(work)
+        return out, sum(x.callcount for x in profile.getstats())
+
+    monkeypatch.setattr(lm_scoring, "TaskContext", Task)
+    seen = defaultdict(list)
+    for n in (1000, 1000, 20_000):  # the first warms up
+        words = [b"w%05d" % i for i in range(n)]
+        texts = [b" ".join(words).decode(), b" ".join(words[: n // 2]).decode(), "x"]
+        docs = pa.RecordBatch.from_pydict({"id": ["a", "b", "c"], "held_out": [False, False, True], "t": texts})
+        out, k = calls(lambda docs=docs: list(lm_scoring.chunked(Table(), 4)(iter([docs]))))
+        seen["chunks"].append(k)
+        rows = out[0].to_pandas()
+        rows = rows[(rows["kind"] == "words") & (rows["bucket"] == zlib.crc32(b"x") % 4)]
+        out, k = calls(lambda rows=rows: lm_scoring.numbered(Table(), 4)((zlib.crc32(b"x") % 4,), rows))
+        seen["numbers"].append(k)
+        found = {r["kind"]: r for r in out.to_dict("records")}
+        mine = [w for w in words if zlib.crc32(w) % 4 == zlib.crc32(b"x") % 4]
+        assert [w for w in lm_scoring.parted(lm_scoring.unpack(found["known"]["x"])) if w] == mine
+        assert lm_scoring.parted(lm_scoring.unpack(found["unknown"]["x"])) == [b"x"]
+        assert found["known"]["ones"] == sum(w in set(words[n // 2 :]) for w in mine)
+        seen["spelling"].append(calls(lambda words=words: lm_scoring.Coded(words))[1])
+    assert all(more - few < 200 for _, few, more in seen.values()), seen
+
+
+def test_lm_words_as_arrays():
+    """Sums of words, and words packed and back, whatever they are."""
+    rnd = random.Random(7)
+    words = [b"", b"a", b"\x00\xff", b"x" * 47, b"y" * 48, b"z" * 49, b"q" * 5000, *(rnd.randbytes(rnd.randint(0, 90)) for _ in range(300))]
+    for some in (words, words[:1], words[6:7], []):
+        array = pa.array(some, pa.large_binary())
+        assert lm_scoring.crcs(array).tolist() == [zlib.crc32(w) for w in some]
+        x = lm_scoring.unpack(lm_scoring.pack(lm_scoring.joined(array)))
+        assert lm_scoring.arrayed(x).to_pylist() == lm_scoring.parted(x) == some
+    assert lm_scoring.parted(lm_scoring.joined(pa.array(words, pa.large_binary()).slice(3, 9))) == words[3:12]
+    coded = lm_scoring.Coded(words)
+    parts = defaultdict(bytes)
+    for size, owner, row in sorted(zip(coded.size.tolist(), coded.owner.tolist(), coded.bytes, strict=True), key=lambda x: -x[0]):
+        parts[owner] += row[:size].tobytes()
+        assert not row[size:].any()
+    assert [parts[i] for i in range(len(words))] == [w + b" " if w else b"\n" for w in words]
+
+
+def test_lm_order_and_lookup():
+    """Rows are sorted as their columns, whether these fit one number as they are, by rank or not at all."""
+    rnd = random.Random(8)
+    for most, columns in ((300, 3), (1 << 31, 3), (200, 12), (0, 3)):
+        some = [np.array([rnd.randint(0, most) for _ in range(600)]) for _ in range(columns)]
+        some = [np.append(x, x[:50]) for x in some]
+        rows = list(zip(*(x.tolist() for x in some), strict=True))
+        order, new = lm_words.ordered(*some)
+        assert sorted(order.tolist()) == list(range(650))
+        assert [rows[i] for i in order] == sorted(rows)
+        assert [rows[i] for i in order[new]] == sorted(set(rows))
+    assert [len(x) for x in lm_words.ordered(*[np.zeros(0, np.int64)] * 3)] == [0, 0]
+    for most in (500, 1 << 31):
+        keys = np.array(rnd.sample(range(most), 200))
+        assert lm_words.looked_up(keys, keys * 3, keys[::-1]).tolist() == (keys[::-1] * 3).tolist()
+    assert lm_words.kinds_of(np.array([5, 2, 5, 0])).tolist() == [0, 2, 5]
+
+
+def test_lm_words_step_by_step(monkeypatch):
+    """Stretches end where a word's entries end, none is over-long but for one word's own."""
+    monkeypatch.setattr(lm_words, "STEP", 10)
+    w1 = np.repeat(np.arange(7), [3, 3, 9, 25, 1, 10, 4])
+    assert lm_words.steps(w1) == [(0, 15), (15, 40), (40, 51), (51, 55)]
+    assert lm_words.steps(w1[:0]) == []
+
+
 def test_lm_packed_triples_come_back():
     """Packed triples are the same again, and smaller than their columns."""
     rnd = random.Random(6)
